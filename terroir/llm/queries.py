@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terroir.llm.leakage import leaked, leaked_items
 from terroir.llm.tokens import decode_ids, encode_corpus
 from terroir.session import table
 
@@ -17,5 +18,13 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return p8_ids(spark, d).select("doc_id", decode_ids(spark, F.col("ids")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_decoded)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(p9_found(spark, d), table(spark, d, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p8_decoded, p9_found, p9_items)}
 ORACLE = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
