@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terroir.llm.leakage import leaked, leaked_items
 from terroir.llm.tokens import decode_ids, encode_corpus
+from terroir.llm.truncation import truncated, truncation_by_source
 from terroir.session import table
 
 
@@ -26,5 +27,13 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(p9_found(spark, d), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_decoded, p9_found, p9_items)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(table(spark, d, "documents"))
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_by_source(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_sources)}
 ORACLE = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
