@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terroir.llm.canonical import mapped_fields
 from terroir.llm.leakage import leaked, leaked_items
 from terroir.llm.tokens import decode_ids, encode_corpus
 from terroir.llm.truncation import truncated, truncation_by_source
@@ -35,5 +36,9 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation_by_source(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_sources)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return mapped_fields(table(spark, d, "products"), table(spark, d, "domain_taxonomy_nodes"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_sources)}
 ORACLE = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

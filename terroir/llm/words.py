@@ -9,10 +9,11 @@ import unicodedata
 #: Zero-width and bidi marks, soft hyphens, joiners, variation selectors.
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]")
 TAG = re.compile(r"<(?:/?[a-zA-Z][^<>]*|!--.*?--|![^<>]*)>", re.S)
+AMP = re.compile("&amp;", re.I)
 WORD = re.compile(r"[^\W_]+")
 #: Letters that don't decompose.
 PLAIN = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
-BROKEN = re.compile("[ÃÂâ][\u0080-¿€‚-›Œ-ƒˆ˜™]+")
+BROKEN = re.compile("[ÃÂâã][\u0080-¿€‚-›Œ-ƒˆ˜™]+")
 
 
 def repair(text: str) -> str:
@@ -21,7 +22,7 @@ def repair(text: str) -> str:
     def one(m: re.Match) -> str:
         for code in ("cp1252", "latin-1"):
             try:
-                return m[0].encode(code).decode("utf-8")
+                return m[0].replace("ã", "Ã").encode(code).decode("utf-8")
             except UnicodeError:
                 continue
         return m[0]
@@ -32,7 +33,7 @@ def repair(text: str) -> str:
 def visible(text: str, gap: str = " ") -> str:
     """Text without tags, entities (escaped up to twice) and invisible marks."""
     if "&" in text:
-        text = html.unescape(html.unescape(text))
+        text = html.unescape(html.unescape(AMP.sub("&amp;", text)))
     if "<" in text:
         text = TAG.sub(gap, text)
     return text if text.isascii() else INVISIBLE.sub("", repair(text))
