@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terroir.llm.canonical import mapped_fields
 from terroir.llm.leakage import leaked, leaked_items
+from terroir.llm.listings import product_groups, product_pairs
 from terroir.llm.tokens import decode_ids, encode_corpus
 from terroir.llm.truncation import truncated, truncation_by_source
 from terroir.session import table
@@ -40,5 +41,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return mapped_fields(table(spark, d, "products"), table(spark, d, "domain_taxonomy_nodes"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_sources)}
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every listing with the class of its bottle."""
+    return product_groups(table(spark, d, "products"), table(spark, d, "domain_taxonomy_nodes"), table(spark, d, "fx_rates"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return product_pairs(p1_groups(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p6_found, p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_sources)}
 ORACLE = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
