@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terroir.llm.canonical import mapped_fields
 from terroir.llm.leakage import leaked, leaked_items
 from terroir.llm.listings import product_groups, product_pairs
+from terroir.llm.survivors import survivors
 from terroir.llm.tokens import decode_ids, encode_corpus
 from terroir.llm.truncation import truncated, truncation_by_source
 from terroir.session import table
@@ -50,5 +51,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return product_pairs(p1_groups(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p6_found, p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_sources)}
+def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return survivors(table(spark, d, "product_records"), table(spark, d, "sources"), table(spark, d, "domain_taxonomy_nodes"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_survivors(spark, d).select("master_product_id", "field_name", "record_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_survivors, p6_found, p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_sources)}
 ORACLE = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
