@@ -165,7 +165,7 @@ def node_value_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH known AS (SELECT source_id, single_product_url, min(source_product_id) AS product_id FROM products GROUP BY 1, 2), n AS (SELECT DISTINCT source_id, single_product_url FROM update_products), m AS (SELECT n.*, product_id FROM n LEFT JOIN known USING (source_id, single_product_url))
- SELECT source_id, count(*) AS n_keys, count(product_id) AS n_known, count(*) - count(product_id) AS n_new, 0 AS n_clashes FROM m GROUP BY 1"""
+ SELECT source_id, count(*) AS n_keys, count(product_id) AS n_known, count(*) - count(product_id) AS n_new, 0::BIGINT AS n_clashes FROM m GROUP BY 1"""
 )
 def upsert_master(spark: SparkSession, d: str) -> DataFrame:
     """Ids of listed products: known ones keep theirs, new ones get the next numbers; counted by source."""

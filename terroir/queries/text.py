@@ -49,7 +49,7 @@ COMMON_SQL = ", ".join(f"'{w}'" for w in X.COMMON_WORDS)
 )
 def common_words_removed(spark: SparkSession, d: str) -> DataFrame:
     s = X.without_common_words(F.lower("name"))
-    return table(spark, d, "products").where("name is not null").select("name", s["text"].alias("text"), F.size(s["removed"]).alias("n_removed")).distinct()
+    return table(spark, d, "products").where("name is not null").select("name", s["text"].alias("text"), F.size(s["removed"]).cast("long").alias("n_removed")).distinct()
 
 
 @query(r"SELECT doc_id, replace(regexp_replace(text, '<a href=\"[^\"]*\">.*?</a>', ' ', 'g'), '  ', ' ') AS text FROM documents")
@@ -144,7 +144,7 @@ def fuzzy_ratio_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT name, levenshtein(lower(name), 'castelo') AS distance FROM (SELECT DISTINCT lower(string_split(name, ' ')[1]) AS name FROM domain_taxonomy_nodes WHERE parent_id <> 0) WHERE regexp_matches(name, '^[a-z]+$') ORDER BY 2, 1 LIMIT 10")
 def fuzzy_levenshtein_topk(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "domain_taxonomy_nodes").where("parent_id <> 0").select(F.lower(F.split("name", " ")[0]).alias("name")).distinct()
-    return w.where("name rlike '^[a-z]+$'").select("name", F.levenshtein(F.lower("name"), F.lit("castelo")).alias("distance")).orderBy("distance", "name").limit(10)
+    return w.where("name rlike '^[a-z]+$'").select("name", F.levenshtein(F.lower("name"), F.lit("castelo")).cast("long").alias("distance")).orderBy("distance", "name").limit(10)
 
 
 @query()
@@ -189,7 +189,7 @@ def unprocessed_chunks(spark: SparkSession, d: str) -> DataFrame:
     from terroir.operators.records import islands
 
     k = table(spark, d, "documents").select("doc_id", F.posexplode(X.simple_words(F.col("text"))).alias("pos", "w")).where("length(w) > 4")
-    return islands(k, ["doc_id"], "pos", "w")
+    return islands(k, ["doc_id"], "pos", "w").withColumn("first_pos", F.col("first_pos").cast("long"))
 
 
 @query(
@@ -212,7 +212,7 @@ def word_positions(spark: SparkSession, d: str) -> DataFrame:
     """Each word with the offset at which it starts in the text of words."""
     k = table(spark, d, "documents").select("doc_id", F.posexplode(X.simple_words(F.col("text"))).alias("pos", "w"))
     before = F.sum(F.length("w") + 1).over(W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
-    return k.select("doc_id", "pos", "w", F.coalesce(before, F.lit(0)).alias("start"))
+    return k.select("doc_id", F.col("pos").cast("long").alias("pos"), "w", F.coalesce(before, F.lit(0)).alias("start"))
 
 
 @query("SELECT label, i, round(avg(x), 5) AS mean FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
@@ -220,4 +220,4 @@ def mean_vector(spark: SparkSession, d: str) -> DataFrame:
     from terroir.operators.records import mean_vector as mean
 
     e = table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("embedding"))
-    return mean(e, ["label"], "embedding").select("label", F.posexplode("vector").alias("i", "x")).select("label", "i", F.round("x", 5).alias("mean"))
+    return mean(e, ["label"], "embedding").select("label", F.posexplode("vector").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("mean"))
