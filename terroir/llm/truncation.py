@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terroir.session import cut as written
+from terroir.session import small
 
 #: The most texts that the ending model is fitted on.
 SAMPLE = 20_000
@@ -265,10 +266,13 @@ def judged(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))
     limits = written(find_limits(rows))
     at = F.when(F.col("unit") == "bytes", F.octet_length("text")).otherwise(F.length("text"))
-    known = rows.join(limits.select("source", "unit", "low", "high", "posterior"), "source", "left")
+    known = rows.join(small(limits.select("source", "unit", "low", "high", "posterior")), "source", "left")
     known = known.withColumn("p_limit", F.when((at >= F.col("low")) & (at <= F.col("high")), F.col("posterior")).otherwise(0.0))
     free = known.where((F.col("p_limit") == 0) & (F.length(F.trim("text")) > 0)).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    taught = [r.text for r in free.orderBy("h", "text").limit(sample).collect()]
+    # thinned by hash before the limit, so that a partition passes on only its share of the sample
+    share = min(1.0, 1.2 * sample / max(rows.where(F.length("text") > 0).count(), 1))
+    thin = free.where(F.pmod("h", F.lit(1_000_000)) <= int(share * 1_000_000))
+    taught = [r.text for r in thin.orderBy("h", "text").limit(sample).collect()]
     shared = spark.sparkContext.broadcast(fit_endings(taught))
 
     def score(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -289,7 +293,7 @@ def _with_odds(scored: DataFrame, rate: DataFrame) -> DataFrame:
     prior = F.greatest(F.col("p_limit"), r)
     prior = F.least(prior, F.lit(0.98))
     odds = F.log(prior / (1 - prior)) + F.col("z")
-    return scored.join(rate, "source", "left").withColumn("p_cut", F.when(F.col("has_text"), 1 / (1 + F.exp(-odds))).otherwise(0.0))
+    return scored.join(small(rate), "source", "left").withColumn("p_cut", F.when(F.col("has_text"), 1 / (1 + F.exp(-odds))).otherwise(0.0))
 
 
 def truncated(documents: DataFrame, **names: str) -> DataFrame:
