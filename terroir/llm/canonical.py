@@ -280,10 +280,11 @@ def map_values(values: DataFrame, nodes: DataFrame, field: str) -> DataFrame:
     """value, node_id for each distinct value (column value) of a field."""
     deepest = FIELDS[field][2]
     found = _match_field(values.select("value").distinct(), nodes, field)
-    # the best two of a part over all blocks; a tie within the margin means neither
+    # the best two of a part over all blocks; a tie within the margin means neither, and so does a
+    # name without the common word that tells two entries apart
     ranked = found.groupBy("value", "part").agg(F.array_sort(F.collect_set(F.struct("cost", (-F.col("score")).alias("minus"), "node", "depth"))).alias("c"))
     first, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
-    clear = second.isNull() | (second["node"] == NONE) | (second["cost"] - first["cost"] > 0.15) | (first["minus"] <= second["minus"] - MARGIN)
+    clear = second.isNull() | (second["node"] == NONE) | (second["cost"] - first["cost"] > 0.15) | ((first["cost"] < 1.2) & (first["minus"] <= second["minus"] - MARGIN))
     node = F.when((first["node"] != NONE) & clear, first["node"]).otherwise(NONE)
     parts = ranked.select("value", "part", node.alias("node"), F.when(node != NONE, first["depth"]).otherwise(-1).alias("depth"))
     if deepest:

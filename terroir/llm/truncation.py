@@ -80,10 +80,11 @@ def fit_censored(x: np.ndarray, n: np.ndarray, at: float, censored: float) -> tu
 
 
 def source_limits(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One source's lengths (unit, len, n) -> its limit, if it has one: unit, low, high, posterior."""
-    best: tuple[float, str, int, int, float] | None = None
-    for unit, part in pdf.groupby("unit"):
-        part = part.sort_values("len")
+    """One source's lengths (unit, len, n) -> its limit, if it has one: unit, high, and for each
+    length near the limit the posterior of being censored there."""
+    best: tuple[float, str, float, float, float, pd.DataFrame] | None = None
+    for unit in ("chars", "bytes"):  # of equal gains the first counts
+        part = pdf[pdf["unit"] == unit].sort_values("len")
         lens, n = part["len"].to_numpy(float), part["n"].to_numpy(float)
         if n.sum() < 8 or len(lens) < 3:
             continue
@@ -102,17 +103,20 @@ def source_limits(pdf: pd.DataFrame) -> pd.DataFrame:
             natural = n.sum() * max(_norm_cdf((log(high + 0.5) - mu) / sd) - _norm_cdf((log(low - 0.5) - mu) / sd), 0.0)
             # the plain model is a density over log length: bring both to a density over length
             gain = (ll - float((x[~inside] * n[~inside]).sum()) + spread) - (plain - float((x * n).sum()))
-            post = max(0.0, min(1.0, 1 - natural / stuck))
-            if gain > LEAST_GAIN and post > 0.5 and (best is None or gain > best[0]):
-                best = (gain, str(unit), int(low), int(high), post)
-    columns = {"unit": "str", "low": "int64", "high": "int64", "posterior": "float64"}
+            if gain > LEAST_GAIN and natural < 0.5 * stuck and (best is None or gain > best[0]):
+                best = (gain, unit, mu, sd, n.sum(), part[part["len"] >= high - max(WINDOWS)])
+    columns = {"unit": "str", "high": "int64", "len": "int64", "posterior": "float64"}
     if best is None:
         return pd.DataFrame({"source": pd.Series([], dtype=object), **{c: pd.Series([], dtype=t) for c, t in columns.items()}})
-    return pd.DataFrame({"source": [pdf["source"].iloc[0]], "unit": [best[1]], "low": [best[2]], "high": [best[3]], "posterior": [best[4]]})
+    _, unit, mu, sd, total, near = best
+    # at each length near the limit: what the distribution expects there against what is there
+    expected = np.array([total * (_norm_cdf((log(v + 0.5) - mu) / sd) - _norm_cdf((log(v - 0.5) - mu) / sd)) for v in near["len"]])
+    posterior = np.clip(1 - (expected + 0.25) / near["n"].to_numpy(float), 0.0, 1.0)
+    return pd.DataFrame({"source": pdf["source"].iloc[0], "unit": unit, "high": int(near["len"].max()), "len": near["len"].to_numpy("int64"), "posterior": posterior})
 
 
 def find_limits(texts: DataFrame) -> DataFrame:
-    """source, unit, low, high, posterior. texts: source, text.
+    """source, unit, high, len, posterior: some rows for each source with a limit. texts: source, text.
 
     A source's lengths are counted first, so a source that holds a third of all rows comes as one
     row for each distinct length (above 65,536 for each 1/64 of a power of two).
@@ -121,7 +125,7 @@ def find_limits(texts: DataFrame) -> DataFrame:
     lens = texts.where(F.length("text") > 0).select("source", size)
     coarse = F.round(F.pow(F.lit(2.0), F.round(F.log2("len") * 64) / 64)).cast("long")
     counts = lens.withColumn("len", F.when(F.col("len") > 65_536, coarse).otherwise(F.col("len").cast("long"))).groupBy("source", "unit", "len").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("source").applyInPandas(source_limits, "source string, unit string, low long, high long, posterior double")
+    return counts.groupBy("source").applyInPandas(source_limits, "source string, unit string, high long, len long, posterior double")
 
 
 # -- endings -----------------------------------------------------------------------------------
@@ -184,8 +188,10 @@ def cut_inside(text: str, rng: np.random.Generator) -> str | None:
     return None
 
 
-def fold(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 3) & 1
+def fold(text: str, doc_id: object) -> int:
+    """Long texts of equal wording are in one fold, so that no copy teaches about another; short
+    ones are split by id, since a remark that many texts consist of is whole."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass") if len(text) > 60 else str(doc_id), 3) & 1
 
 
 def fit_weights(whole: list[list[int]], made: list[list[int]], rng: np.random.Generator, epochs: int = 8) -> np.ndarray:
@@ -212,7 +218,7 @@ def fit_weights(whole: list[list[int]], made: list[list[int]], rng: np.random.Ge
     return w
 
 
-def fit_endings(texts: list[str], seed: int = 7, rounds: int = 3) -> np.ndarray:
+def fit_endings(texts: list[tuple[object, str]], seed: int = 7, rounds: int = 3) -> np.ndarray:
     """Two rows of weights (the last one is the bias): row k is fitted without the texts of fold k.
 
     So no text is judged by a model that has seen its ending. Weights are log-odds at even prior.
@@ -220,8 +226,8 @@ def fit_endings(texts: list[str], seed: int = 7, rounds: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
     whole: list[list[list[int]]] = [[], []]
     made: list[list[list[int]]] = [[], []]
-    for t in texts:
-        k = fold(t)
+    for doc_id, t in texts:
+        k = fold(t, doc_id)
         end, _ = bare_end(t)
         if end:
             whole[k].append(features(end))
@@ -237,16 +243,16 @@ def fit_endings(texts: list[str], seed: int = 7, rounds: int = 3) -> np.ndarray:
     return w
 
 
-def ending_scores(texts: list[str], weights: np.ndarray) -> list[float]:
+def ending_scores(texts: list[tuple[object, str]], weights: np.ndarray) -> list[float]:
     """Log likelihood ratio of the endings, cut against whole."""
     out = []
-    for t in texts:
+    for doc_id, t in texts:
         end, marked = bare_end(t)
         closed = not end or bool(CLOSED.search(end)) or end.endswith(">")
         if closed and not marked:
             out.append(-20.0)
             continue
-        w = weights[fold(t)]
+        w = weights[fold(t, doc_id)]
         z = float(w[features(end)].sum() + w[-1]) if end else 0.0
         if BROKEN.search(end):
             z = max(z, 8.0)
@@ -265,22 +271,22 @@ def judged(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     spark = documents.sparkSession
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))
     limits = written(find_limits(rows))
-    at = F.when(F.col("unit") == "bytes", F.octet_length("text")).otherwise(F.length("text"))
-    known = rows.join(small(limits.select("source", "unit", "low", "high", "posterior")), "source", "left")
-    known = known.withColumn("p_limit", F.when((at >= F.col("low")) & (at <= F.col("high")), F.col("posterior")).otherwise(0.0))
-    free = known.where((F.col("p_limit") == 0) & (F.length(F.trim("text")) > 0)).select("text", F.xxhash64("doc_id", "text").alias("h"))
+    at = F.when(F.col("__u") == "bytes", F.octet_length("text")).otherwise(F.length("text"))
+    near = small(limits.select(F.col("source").alias("__s"), F.col("unit").alias("__u"), F.col("len").alias("__len"), "posterior"))
+    known = rows.join(near, (F.col("source") == F.col("__s")) & (at == F.col("__len")), "left").withColumn("p_limit", F.coalesce("posterior", F.lit(0.0)))
+    free = known.where((F.col("p_limit") == 0) & (F.length(F.trim("text")) > 0)).select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("h"))
     # thinned by hash before the limit, so that a partition passes on only its share of the sample
     share = min(1.0, 1.2 * sample / max(rows.where(F.length("text") > 0).count(), 1))
     thin = free.where(F.pmod("h", F.lit(1_000_000)) <= int(share * 1_000_000))
-    taught = [r.text for r in thin.orderBy("h", "text").limit(sample).collect()]
+    taught = [(r.doc_id, r.text) for r in thin.orderBy("h", "text").limit(sample).collect()]
     shared = spark.sparkContext.broadcast(fit_endings(taught))
 
-    def score(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in it:
-            yield pd.Series(ending_scores([t if isinstance(t, str) else "" for t in s], shared.value))
+    def score(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ids, s in it:
+            yield pd.Series(ending_scores([(i, t if isinstance(t, str) else "") for i, t in zip(ids, s)], shared.value))
 
     ending = F.pandas_udf(score, "double")  # type: ignore[call-overload]
-    scored = written(known.select("doc_id", "source", (F.length(F.coalesce("text", F.lit(""))) > 0).alias("has_text"), "p_limit", ending("text").alias("z")))
+    scored = written(known.select("doc_id", "source", (F.length(F.coalesce("text", F.lit(""))) > 0).alias("has_text"), "p_limit", ending(F.col("doc_id").cast("string"), "text").alias("z")))
     # each source's rate of cuts outside its limit, by expectation maximisation over all its texts
     rate = scored.groupBy("source").agg(F.lit(0.03).alias("rate"))
     for _ in range(rounds):
@@ -306,4 +312,4 @@ def truncation_by_source(documents: DataFrame, **names: str) -> DataFrame:
     """source, n_texts, n_cut, n_at_limit, limit_unit, limit_length."""
     docs, limits = judged(documents, **names)
     count = docs.where("has_text").groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(F.col("p_cut") > 0.5).alias("n_cut"), F.count_if((F.col("p_cut") > 0.5) & (F.col("p_limit") > 0)).alias("n_at_limit"))
-    return count.join(limits.select("source", F.col("unit").alias("limit_unit"), F.col("high").alias("limit_length")), "source", "left")
+    return count.join(limits.select("source", F.col("unit").alias("limit_unit"), F.col("high").alias("limit_length")).distinct(), "source", "left")
