@@ -27,6 +27,7 @@ def nodes(spark):
     houses += [f"{k} {n}" for k in ("Château", "Domaine", "Cantina", "Bodegas", "Viña", "Maison", "Finca") for n in (f"{k[:2]}zubo{j}k" for j in range(3))]
     rows = [(5, 5, 0, "all brand", "[]", "[0]")] + [(100 + i, 5, 5, n, '["TFW Dasamworth"]' if i == 1 else "[]", "[0, 5]") for i, n in enumerate(houses)]
     rows += [(6, 6, 0, "all region", None, "[0]"), (60, 6, 6, "Varardo", "[]", "[0, 6]"), (61, 6, 60, "Costa Relford", "[]", "[0, 6, 60]"), (62, 6, 61, "North Stuwiltal", "not json", "[0, 6, 60, 61]"), (63, 6, 61, "South Stuwiltal", "[]", "[0, 6, 60, 61]"), (64, 6, 6, "Mulange", "[]", "[0, 6]")]
+    rows += [(200 + i, 6, 60, n, "[]", "[0, 6, 60]") for i, n in enumerate(f"{k} {x}" for k, x in zip(["Costa", "North", "South"] * 3, ["Bolono", "Xabago", "Yelor", "Zuvem", "Trelag", "Vimoro", "Kadefi", "Lomupa", "Sugeno"]))]
     rows += [(7, 7, 0, "all varietals", "[]", "[0]")] + [(70 + i, 7, 7, n, '["Denello"]' if i == 0 else "[]", "[0, 7]") for i, n in enumerate(["Bravenolo Gris", "Zemina", "Madolina Noir", "Cegonetta", "Crimac"])]
     return spark.createDataFrame([(*r, "x") for r in rows] + [(None, None, None, None, None, None, None)], NODES)
 
