@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from terroir.functions.text import COMMON_WORDS, cleanup, indel_ratio
 from terroir.operators.dictionary import Dictionary
+from terroir.session import spread
 
 MAX_ENTRIES = 200_000
 MASK = "*********"
@@ -232,7 +233,7 @@ def lookup(sentences: DataFrame, text: str, index: Index, **options: object) ->
             yield pd.DataFrame(rows, columns=["raw", "code", "entity_id", "value", "start", "end", "score"])
 
     distinct = sentences.select(F.col(text).alias("raw")).where(F.length(F.trim("raw")) > 0).distinct().withColumn("cleaned", cleanup(F.col("raw")))
-    return distinct.mapInPandas(each, f"raw string, {SCHEMA}").withColumnRenamed("raw", text)
+    return spread(distinct).mapInPandas(each, f"raw string, {SCHEMA}").withColumnRenamed("raw", text)
 
 
 def best_per_code(matches: Iterable[Match]) -> dict[str, Match]:
