@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terroir.llm.words import fold, visible, words
+from terroir.session import spread
 
 NONE = -1
 THRESHOLD, MARGIN = 0.15, 0.03
@@ -279,7 +280,7 @@ def _match_field(values: DataFrame, nodes: DataFrame, field: str) -> DataFrame:
 def map_values(values: DataFrame, nodes: DataFrame, field: str) -> DataFrame:
     """value, node_id for each distinct value (column value) of a field."""
     deepest = FIELDS[field][2]
-    found = _match_field(values.select("value").distinct(), nodes, field)
+    found = _match_field(spread(values.select("value").distinct()), nodes, field)
     # the best two of a part over all blocks; a tie within the margin means neither, and so does a
     # name without the common word that tells two entries apart
     ranked = found.groupBy("value", "part").agg(F.array_sort(F.collect_set(F.struct("cost", (-F.col("score")).alias("minus"), "node", "depth"))).alias("c"))
