@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "source", "wbr"}
+#: A new one of these ends an open one.
+ENDS_ITSELF = {"p", "li", "tr", "td", "th", "option", "dt", "dd"}
 HIDDEN = {"script", "style", "template", "noscript"}
 
 
@@ -42,7 +44,12 @@ class _Page(HTMLParser):
                 self.found[s.name].append(a[s.attribute])
         if tag in VOID:
             self.text.append(" ")
+            for _, _, parts, _ in self.open:
+                parts.append(" ")
             return
+        if tag in ENDS_ITSELF and any(t == tag for t, *_ in self.open):
+            self.handle_endtag(tag)
+        self.text.append("" if tag in ("a", "b", "i", "em", "strong", "span") else " ")
         self.hidden += tag in HIDDEN
         self.open.append((tag, [s for s in hits if not s.attribute], [], a.get("href") if tag == "a" else None))
 
