@@ -220,7 +220,8 @@ def load(dictionary: Dictionary, settings: Settings | None = None) -> Index:
 def lookup(sentences: DataFrame, text: str, index: Index, **options: object) -> DataFrame:
     """text and its attributes (SCHEMA), one row per attribute of every distinct sentence.
 
-    Equal sentences are looked up once; null and blank ones have no rows.
+    Equal sentences are looked up once; null and blank ones have no rows. If the text column's name
+    is one of SCHEMA, it comes out as <name>_text.
     """
     shared = sentences.sparkSession.sparkContext.broadcast(index)
 
@@ -233,7 +234,7 @@ def lookup(sentences: DataFrame, text: str, index: Index, **options: object) ->
             yield pd.DataFrame(rows, columns=["raw", "code", "entity_id", "value", "start", "end", "score"])
 
     distinct = sentences.select(F.col(text).alias("raw")).where(F.length(F.trim("raw")) > 0).distinct().withColumn("cleaned", cleanup(F.col("raw")))
-    return spread(distinct).mapInPandas(each, f"raw string, {SCHEMA}").withColumnRenamed("raw", text)
+    return spread(distinct).mapInPandas(each, f"raw string, {SCHEMA}").withColumnRenamed("raw", f"{text}_text" if text in ("code", "entity_id", "value", "start", "end", "score") else text)
 
 
 def best_per_code(matches: Iterable[Match]) -> dict[str, Match]:
