@@ -32,6 +32,8 @@ from terroir.session import small
 
 #: The most texts that the ending model is fitted on.
 SAMPLE = 20_000
+#: The penalised fit draws weights towards 0; scores are widened by this factor.
+WIDEN = 1.3
 BUCKETS = 1 << 18
 #: A limit may be applied exactly, at a whole character, at a whole word or with a mark after it.
 WINDOWS = (0, 3, 18)
@@ -253,7 +255,7 @@ def ending_scores(texts: list[tuple[object, str]], weights: np.ndarray) -> list[
             out.append(-20.0)
             continue
         w = weights[fold(t, doc_id)]
-        z = float(w[features(end)].sum() + w[-1]) if end else 0.0
+        z = WIDEN * float(w[features(end)].sum() + w[-1]) if end else 0.0
         if BROKEN.search(end):
             z = max(z, 8.0)
         out.append(-6.0 if closed else z + 1.0 if marked else z)
