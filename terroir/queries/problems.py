@@ -48,3 +48,27 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_history, p4_found, p4_wide, p5_found, p7_found)}
+
+# -- the same in SQL ----------------------------------------------------------------------------
+
+NUMBER = r"TRY_CAST(replace(regexp_extract(trim({}), '^(?:US\$|\$|USD)?\s*([0-9][0-9,]*(?:\.[0-9]*)?)$', 1), ',', '') AS DECIMAL(20,6))"
+VERSIONS = f"""WITH r AS (SELECT source_id, single_product_url, observed_at, arg_max(struct_pack(p := {NUMBER.format("price")}, q := {NUMBER.format("qoh")}), (received_at, update_id)) AS v FROM update_feed WHERE observed_at IS NOT NULL GROUP BY 1, 2, 3),
+ k AS (SELECT source_id, single_product_url, observed_at, last_value(v.p IGNORE NULLS) OVER o AS p, last_value(v.q IGNORE NULLS) OVER o AS q FROM r WINDOW o AS (PARTITION BY source_id, single_product_url ORDER BY observed_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ c AS (SELECT *, row_number() OVER o AS n, lag(p) OVER o AS bp, lag(q) OVER o AS bq FROM k WINDOW o AS (PARTITION BY source_id, single_product_url ORDER BY observed_at)),
+ s AS (SELECT * FROM c WHERE n = 1 OR p IS DISTINCT FROM bp OR q IS DISTINCT FROM bq) SELECT source_id, single_product_url, strftime(observed_at, '%Y-%m-%d %H:%M:%S') AS valid_from, strftime(lead(observed_at) OVER (PARTITION BY source_id, single_product_url ORDER BY observed_at), '%Y-%m-%d %H:%M:%S') AS valid_to, p, q FROM s"""
+SAME = "lower(nullif(regexp_replace(regexp_replace(name, '\\s+', ' ', 'g'), '^ | $', '', 'g'), ''))"
+CHANGES = f"""WITH runs AS (SELECT source_id, sequence_id, row_number() OVER o AS i, lag(sequence_id) OVER o AS before FROM (SELECT DISTINCT source_id, sequence_id, start_time FROM pipeline_sequence WHERE state = 'ready') WINDOW o AS (PARTITION BY source_id ORDER BY start_time, sequence_id)),
+ u AS (SELECT sequence_id, single_product_url, arg_max(struct_pack(n := {SAME}, p := {NUMBER.format("price")}, q := {NUMBER.format("qoh")}), loaded_at) AS v FROM update_products GROUP BY 1, 2),
+ b AS (SELECT r.source_id, r.sequence_id, u.single_product_url, u.v FROM runs r JOIN u ON u.sequence_id = r.before), a AS (SELECT r.source_id, r.sequence_id, u.single_product_url, u.v FROM runs r JOIN u USING (sequence_id) WHERE r.before IS NOT NULL)
+ SELECT source_id, sequence_id, single_product_url, CASE WHEN b.v IS NULL THEN 'added' WHEN a.v IS NULL THEN 'removed' ELSE 'changed' END AS change_kind FROM a FULL JOIN b USING (source_id, sequence_id, single_product_url) WHERE a.v IS DISTINCT FROM b.v"""
+DATES = ", ".join(f"try_strptime(v, '{f}')" for f in ("%Y-%m-%d", "%Y%m%d", "%Y/%m/%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%d %b %Y"))
+CELLS = rf"""WITH r AS (SELECT DISTINCT s.source_product_id, s.attribute_id, s.sav_id, s.updated, a.is_multivalue, a.datatype, regexp_replace(s.value, '^\s+|\s+$', '', 'g') AS v FROM source_attribute_values s JOIN domain_attributes a USING (attribute_id)),
+ g AS (SELECT * FROM r WHERE v <> '' AND CASE datatype WHEN 'text' THEN TRUE WHEN 'integer' THEN regexp_matches(v, '^[+-]?([0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+)(\.0*)?$') WHEN 'float' THEN regexp_matches(v, '^[+-]?[0-9]+([.,][0-9]*)?([eE][+-]?[0-9]+)?$')
+ WHEN 'currency' THEN regexp_matches(v, '^(\$|USD|EUR|€)?\s*[0-9]+([.,][0-9]+)*\s*(\$|USD|EUR|€)?$') WHEN 'boolean' THEN lower(v) IN ('1', '0', 'true', 'false', 't', 'f', 'yes', 'no', 'y', 'n', 'on', 'off') WHEN 'datetime' THEN coalesce({DATES}) IS NOT NULL END)
+ SELECT source_product_id, attribute_id, arg_max(sav_id, (updated, sav_id)) AS sav_id FROM g WHERE NOT is_multivalue GROUP BY 1, 2 UNION ALL SELECT source_product_id, attribute_id, min(sav_id) FROM g WHERE is_multivalue GROUP BY source_product_id, attribute_id, lower(v)"""
+ORACLE = {
+    "p2_found": f"SELECT source_id, single_product_url, valid_from FROM ({VERSIONS})",
+    "p2_history": f"SELECT source_id, single_product_url, valid_from, valid_to, CAST(round(p * 100) AS BIGINT) AS price_cents, CAST(q AS BIGINT) AS qoh FROM ({VERSIONS})",
+    "p4_found": CELLS,
+    "p5_found": CHANGES,
+}
