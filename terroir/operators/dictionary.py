@@ -39,9 +39,9 @@ def lookup_form(entries: DataFrame) -> DataFrame:
 
 def inverse_frequencies(entries: DataFrame) -> DataFrame:
     """token, df, idf = ln((1 + n) / (1 + df)) + 1 over entries with words."""
-    n = entries.agg(F.count(F.lit(1)).alias("n"))
+    n = entries.count()
     df = entries.select(F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(n)).select("token", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return df.select("token", "df", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def cutoff(idf: DataFrame, share: float = CUTOFF_SHARE) -> DataFrame:
@@ -51,7 +51,7 @@ def cutoff(idf: DataFrame, share: float = CUTOFF_SHARE) -> DataFrame:
 def weigh(entries: DataFrame, idf: DataFrame, share: float = CUTOFF_SHARE) -> DataFrame:
     """Adds key, max_idf and the prefixes too frequent to find the entry by (none if all are)."""
     keyed = entries.withColumn("key", F.xxhash64("entity_id", "code", "text"))
-    words = keyed.select("key", F.explode("words").alias("token")).join(idf, "token").crossJoin(F.broadcast(cutoff(idf, share)))
+    words = keyed.select("key", F.explode("words").alias("token")).join(idf, "token").withColumn("cutoff", F.lit(cutoff(idf, share).first()[0]))
     g = words.groupBy("key").agg(F.sum("idf").alias("s"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.when(F.col("idf") < F.col("cutoff"), F.substring("token", 1, 3)))).alias("low"), F.collect_set(F.substring("token", 1, 3)).alias("all"))
     bonus = PERFECT_BONUS * F.when(F.col("n") > 1, 1 + NGRAM_BONUS * F.col("n")).otherwise(1.0)
     g = g.select("key", (F.col("s") * bonus).alias("max_idf"), F.when(F.size("low") == F.size("all"), F.array().cast("array<string>")).otherwise(F.col("low")).alias("insufficient"))

@@ -48,13 +48,13 @@ def upsert(known: DataFrame, new: DataFrame, keys: Sequence[str], id_name: str)
     """
     distinct = new.select(*keys).where(F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda x: x)).distinct()
     matched = distinct.join(known.groupBy(*keys).agg(F.min(id_name).alias(id_name)), list(keys), "left")
-    top = known.agg(F.coalesce(F.max(id_name), F.lit(0)).alias("__top"))
+    top = known.agg(F.coalesce(F.max(id_name), F.lit(0))).first()[0]
     fresh = matched.where(F.col(id_name).isNull()).select(*keys)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(1024))
     fresh = fresh.withColumn("__b", bucket)
     sizes = fresh.groupBy("__b").count().withColumn("__off", F.sum("count").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1))).select("__b", F.coalesce("__off", F.lit(0)).alias("__off"))
     numbered = fresh.join(F.broadcast(sizes), "__b").withColumn("__n", F.row_number().over(W.partitionBy("__b").orderBy(*keys)))
-    numbered = numbered.crossJoin(F.broadcast(top)).select(*keys, (F.col("__top") + F.col("__off") + F.col("__n")).alias(id_name))
+    numbered = numbered.select(*keys, (F.lit(top) + F.col("__off") + F.col("__n")).alias(id_name))
     return matched.where(F.col(id_name).isNotNull()).unionByName(numbered)
 
 

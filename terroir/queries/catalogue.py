@@ -170,8 +170,8 @@ def node_value_resolve(spark: SparkSession, d: str) -> DataFrame:
 def upsert_master(spark: SparkSession, d: str) -> DataFrame:
     """Ids of listed products: known ones keep theirs, new ones get the next numbers; counted by source."""
     known = table(spark, d, "products").select("source_id", "single_product_url", F.col("source_product_id").alias("product_id"))
-    top = known.agg(F.max("product_id").alias("top"))
-    ids = R.upsert(known, table(spark, d, "update_products"), ["source_id", "single_product_url"], "product_id").crossJoin(F.broadcast(top))
+    top = known.agg(F.max("product_id")).first()[0]
+    ids = R.upsert(known, table(spark, d, "update_products"), ["source_id", "single_product_url"], "product_id").withColumn("top", F.lit(top))
     clashes = ids.groupBy("product_id").agg(F.count(F.lit(1)).alias("k"), F.first("source_id").alias("source_id"), F.first("top").alias("top"))
     by = clashes.groupBy("source_id").agg(F.count_if((F.col("k") > 1) & (F.col("product_id") > F.col("top"))).alias("n_clashes"))
     return ids.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("product_id") <= F.col("top")).alias("n_known"), F.count_if(F.col("product_id") > F.col("top")).alias("n_new")).join(by, "source_id")

@@ -61,11 +61,14 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.inline(F.array(*[F.struct(F.lit(k).alias("side"), F.col(k).alias("n")) for k in ("both", "first", "second", "any")])))
 
 
-@query("SELECT source_id, min(r) AS lo, max(r) AS hi, max(r) - min(r) + 1 = count(DISTINCT r) AS contiguous FROM (SELECT source_id, sequence_id, dense_rank() OVER (ORDER BY sequence_id) AS r FROM pipeline_sequence) GROUP BY 1")
+@query(
+    f"""WITH s AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS w FROM (SELECT doc_id, {WORDS.format("text")} AS ws FROM documents)) SELECT doc_id, min(pos) AS lo, max(pos) AS hi, max(pos) - min(pos) + 1 = count(DISTINCT pos) AS contiguous FROM s WHERE w IN ('wine', 'palate', 'smells', 'notes') GROUP BY 1"""
+)
 def contiguity(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the ranks of a source's runs have no gap."""
-    r = table(spark, d, "pipeline_sequence").select("source_id", F.dense_rank().over(W.orderBy("sequence_id")).cast("long").alias("r"))
-    return r.groupBy("source_id").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), (F.max("r") - F.min("r") + 1 == F.countDistinct("r")).alias("contiguous"))
+    """Whether the positions of some words in a text have no gap."""
+    k = table(spark, d, "documents").select("doc_id", F.posexplode(simple_words(F.col("text"))).alias("pos", "w")).where("w in ('wine', 'palate', 'smells', 'notes')")
+    g = k.withColumn("pos", F.col("pos").cast("long")).groupBy("doc_id")
+    return g.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), (F.max("pos") - F.min("pos") + 1 == F.countDistinct("pos")).alias("contiguous"))
 
 
 @query("SELECT name, length(name) AS n FROM (SELECT DISTINCT name FROM domain_taxonomy_nodes) ORDER BY n DESC, name LIMIT 25")
@@ -160,8 +163,8 @@ def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
     """The three heaviest words of each text."""
     tf = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(simple_words(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    n = tf.agg(F.countDistinct("doc_id").alias("n"))  # one row
-    s = tf.join(df, "w").crossJoin(F.broadcast(n)).select("doc_id", "w", F.round(F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1), 6).alias("score"))
+    n = tf.agg(F.countDistinct("doc_id")).first()[0]
+    s = tf.join(df, "w").select("doc_id", "w", F.round(F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1), 6).alias("score"))
     return s.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "w"))).where("r <= 3").select("doc_id", "w", "score")
 
 

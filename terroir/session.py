@@ -43,5 +43,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system that its scheme names."""
+    fs, where = _file_system(spark, path)
+    return bool(fs.exists(where))
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, where = _file_system(spark, path)
+    return bool(fs.exists(where) and fs.getFileStatus(where).isDirectory())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terroir.session import is_folder, path_exists
+
 
 def read_feed(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
     """A stream of the parquet files of a folder, or of one file."""
-    import os
-
     schema = spark.read.parquet(path).schema
-    folder, pattern = (path, "*.parquet") if os.path.isdir(path) else os.path.split(path)
+    folder, pattern = (path, "*.parquet") if is_folder(spark, path) else posixpath.split(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
@@ -41,11 +42,9 @@ def merge_latest(spark: SparkSession, state: str, keys: list[str], order: list[s
     State is written to a folder of its own per batch, so a batch that is repeated after a failure
     gives the same result.
     """
-    import os
-
     def previous(batch: int) -> DataFrame | None:
         for b in range(batch - 1, -1, -1):
-            if os.path.exists(f"{state}/{b}/_SUCCESS"):
+            if path_exists(spark, f"{state}/{b}/_SUCCESS"):
                 return spark.read.parquet(f"{state}/{b}")
         return None
 
