@@ -13,6 +13,7 @@ and its input is bounded by the length of the time span, not by the number of ro
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terroir.functions.numbers import AMOUNT, plain_digits, trimmed
+from terroir.session import cut
 
 DEC, AMT = "decimal(20,6)", "decimal(38,10)"
 #: One US fluid ounce in millilitres.
@@ -171,7 +173,10 @@ def _segment(bins: pd.DataFrame, factors: dict[str, tuple[float, ...]], penalty:
     return pd.DataFrame({"source_id": bins["source_id"].to_numpy(), "field_name": field_name, "bin": bins["bin"].to_numpy(), "factor": chosen})
 
 
-def common_units(products: DataFrame, fx_rates: DataFrame, *, bin_seconds: int = 3600, penalty: float = 6.0) -> DataFrame:
+FIELDS = (BOTTLE_SIZE.name, ALCOHOL.name, PRICE.name)
+
+
+def common_units(products: DataFrame, fx_rates: DataFrame, *, fields: Sequence[str] = FIELDS, bin_seconds: int = 3600, penalty: float = 6.0) -> DataFrame:
     """source_product_id, field_name, amount (decimal, common unit): one row per stated amount.
 
     bottle_size in ml, alcohol_pct in hundredths of a percent by volume, price in US cents of one
@@ -183,14 +188,18 @@ def common_units(products: DataFrame, fx_rates: DataFrame, *, bin_seconds: int =
     fx.setdefault("USD", 1.0)
     seconds = F.coalesce(F.col("scraped_at").cast("timestamp").cast("double"), F.lit(0.0))
     df = products.select("source_product_id", "source_id", F.floor(seconds / bin_seconds).alias("bin"), "bottle_size", "alcohol_pct", "price")
-    df = read_price(read_quantity(read_quantity(df, "bottle_size", BOTTLE_SIZE), "alcohol_pct", ALCOHOL), "price", fx)
-    fields = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"{f}_amount").alias("amount"), F.col(f"{f}_bare").alias("bare")) for f in ("bottle_size", "alcohol_pct", "price")])
-    rows = df.select("source_product_id", "source_id", "bin", F.inline(fields)).where(F.coalesce("amount", "bare") > 0)
+    for q in (BOTTLE_SIZE, ALCOHOL):
+        df = read_quantity(df, q.name, q) if q.name in fields else df
+    df = read_price(df, "price", fx) if "price" in fields else df
+    stated = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"{f}_amount").alias("amount"), F.col(f"{f}_bare").alias("bare")) for f in fields])
+    rows = df.select("source_product_id", "source_id", "bin", F.inline(stated)).where(F.coalesce("amount", "bare") > 0)
     factors = {q.name: q.bare for q in (BOTTLE_SIZE, ALCOHOL, PRICE)}
     log = F.log10(F.col("bare").cast("double"))
-    level = rows.where("amount is not null").groupBy("field_name").agg(F.avg(F.log10(F.col("amount").cast("double"))).alias("ref"))
-    bins = rows.where("bare is not null").groupBy("source_id", "field_name", "bin").agg(F.count("bare").cast("double").alias("n"), F.sum(log).alias("s"), F.sum(log * log).alias("q"))
-    bins = bins.join(F.broadcast(level), "field_name", "left")  # at most one row a field
+    said = F.log10(F.col("amount").cast("double"))
+    # one pass for the sums of stated and of bare amounts; what follows works on them
+    sums = cut(rows.groupBy("source_id", "field_name", "bin").agg(F.count("bare").cast("double").alias("n"), F.sum(log).alias("s"), F.sum(log * log).alias("q"), F.count("amount").alias("m"), F.sum(said).alias("t")))
+    level = sums.groupBy("field_name").agg((F.sum("t") / F.nullif(F.sum("m"), F.lit(0))).alias("ref"))
+    bins = sums.where("n > 0").drop("m", "t").join(F.broadcast(level), "field_name", "left")  # at most one row a field
 
     def each(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _segment(pdf, factors, penalty)
