@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from terroir.functions.text import COMMON_WORDS, cleanup, indel_ratio
 from terroir.operators.dictionary import Dictionary
-from terroir.session import spread
+from terroir.session import Shared, spread
 
 MAX_ENTRIES = 200_000
 MASK = "*********"
@@ -223,7 +223,7 @@ def lookup(sentences: DataFrame, text: str, index: Index, **options: object) ->
     Equal sentences are looked up once; null and blank ones have no rows. If the text column's name
     is one of SCHEMA, it comes out as <name>_text.
     """
-    shared = sentences.sparkSession.sparkContext.broadcast(index)
+    shared = Shared(sentences.sparkSession, index)
 
     def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,25 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+class Shared:
+    """An object on all executors, pickled by value: they need no install of its class's module."""
+
+    def __init__(self, spark: SparkSession, thing: object) -> None:
+        from pyspark import cloudpickle
+
+        self._data = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+        self._thing = thing
+
+    def __getstate__(self) -> dict:
+        return {"_data": self._data, "_thing": None}
+
+    @property
+    def value(self):
+        if self._thing is None:
+            self._thing = pickle.loads(self._data.value)
+        return self._thing
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, for small rows that take much work each: sizes alone would put them in few tasks."""
     spark = df.sparkSession
