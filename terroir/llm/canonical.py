@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terroir.llm.words import fold, visible, words
-from terroir.session import spread
+from terroir.session import Shared, spread
 
 NONE = -1
 THRESHOLD, MARGIN = 0.15, 0.03
@@ -253,7 +253,7 @@ def _match_field(values: DataFrame, nodes: DataFrame, field: str) -> DataFrame:
     schema = "value string, part int, node bigint, depth int, cost double, score double"
     out = None
     for block in references(nodes, attribute_id):
-        shared = values.sparkSession.sparkContext.broadcast(block)
+        shared = Shared(values.sparkSession, block)
 
         def match(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             memo: dict[str, list] = {}

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terroir.llm.words import words
+from terroir.session import Shared
 
 WINDOW, ALTERED = 12, 1
 STEPS, SAMPLED, SAMPLES = 24, 4, 2
@@ -181,7 +182,7 @@ def leaked(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", it
     id_type, item_type = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     parts = []
     for block in item_blocks(items, item_id, text):
-        shared = spark.sparkContext.broadcast(ItemBlock(block, recall, seed))
+        shared = Shared(spark, ItemBlock(block, recall, seed))
 
         def find(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in it:
