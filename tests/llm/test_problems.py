@@ -101,6 +101,14 @@ def test_listings_of_nothing(spark, nodes, rates):
     assert product_pairs(product_groups(listings(spark, []), nodes, rates)).count() == 0
 
 
+def test_errors_in_numbered_and_short_cuvees(spark, nodes, rates):
+    name = "Château Vodamault {} Bravenolo Gris 2017"
+    cuvees = ["Barrel 40", "Barrel 40", "Barrl 40", "Baorel 40", "Barrel 41", "Lot 7", "Lot 7", "Loot 7", "Lot 8", "Une", "Une", "Uae", "Ostu", "Osti"]
+    rows = [(i, name.format(c), None, None, None, None) for i, c in enumerate(cuvees)]
+    got = sorted(tuple(r) for r in product_pairs(product_groups(listings(spark, rows), nodes, rates)).collect())
+    assert got == sorted((a, b) for g in ([0, 1, 2, 3], [5, 6, 7], [9, 10, 11]) for a in g for b in g if a < b)
+
+
 SOURCES = "source_id bigint, source_code string, source_name string, trust_rank int, text string"
 
 
