@@ -109,6 +109,23 @@ def test_errors_in_numbered_and_short_cuvees(spark, nodes, rates):
     assert got == sorted((a, b) for g in ([0, 1, 2, 3], [5, 6, 7], [9, 10, 11]) for a in g for b in g if a < b)
 
 
+def test_orders_selling_words_and_two_errors_of_cuvees(spark, nodes, rates):
+    name = "{} {} Bravenolo Gris 2017"
+    houses = ["Château Vodamault", "Domaine Negirôme", "Cantina Nostirone", "Maison Facherange", "Finca Talanera"]
+    cuvees = ["Owl Harrow", "Harrow Owl", "Owl Harrow Stupendous", "Sitetrozo", "Sitetrozo", "Stietrozzo", "Sitemalo"]
+    rows = [(10 * h + i, name.format(house, c), None, None, None, None) for h, house in enumerate(houses) for i, c in enumerate(cuvees)]
+    # a word that stands beside a cuvée at one house only tells it apart
+    rows += [(90, name.format(houses[0], "Owl Harrow Upper"), None, None, None, None)]
+    got = sorted(tuple(r) for r in product_pairs(product_groups(listings(spark, rows), nodes, rates)).collect())
+    assert got == sorted((10 * h + a, 10 * h + b) for h in range(5) for g in ([0, 1, 2], [3, 4, 5]) for a in g for b in g if a < b)
+
+
+def test_a_designation_beside_the_house(spark, nodes, rates):
+    entries = spark.createDataFrame([(900, 5, 5, "Pakorstead Family Wines", "[]", "[0, 5]", "x")] + [(901 + i, 5, 5, f"Tozubo{i}k Family Wines", "[]", "[0, 5]", "x") for i in range(9)], NODES)
+    rows = [(1, "Cuvée Sitetrozo Old Vines Pakorstead Family Wines 2013", None, None, None, None), (2, "Pakorstead Family Wines Sitetrozo OV 2013", None, None, None, None)]
+    assert [tuple(r) for r in product_pairs(product_groups(listings(spark, rows), nodes.unionByName(entries), rates)).collect()] == [(1, 2)]
+
+
 SOURCES = "source_id bigint, source_code string, source_name string, trust_rank int, text string"
 
 
