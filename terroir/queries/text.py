@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terroir.functions import text as X
 from terroir.operators import summary as S
-from terroir.session import table
+from terroir.session import small, table
 
 ORACLE: dict[str, str] = {}
 QUERIES: dict = {}
@@ -132,13 +132,22 @@ def derived_definition(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("title <> ''").select("doc_id", t.alias("template"), F.replace(t, F.lit("{value}"), F.when(F.instr(t, "{value}") == 1, cap).otherwise(F.col("title"))).alias("definition"))
 
 
+def ratio_pairs(brands: DataFrame, names: DataFrame) -> DataFrame:
+    """brand, name, ratio: begin with the same letter, differ in length by one at most, ratio above 80."""
+    sides = [x.where(f"{c} <> ''").select(c, F.substring(c, 1, 1).alias("letter"), F.length(c).alias("n")) for x, c in ((brands, "brand"), (names, "name"))]
+    b = sides[0].withColumn("at", F.explode(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1)))
+    near = b.join(small(sides[1].withColumnRenamed("n", "at")), ["letter", "at"])
+    # a ratio above 80 leaves at most 0.195 of the letters out, and no fewer than the edits there are
+    near = near.where(F.levenshtein("brand", "name") <= 0.195 * (F.col("n") + F.col("at")))
+    return near.select("brand", "name", X.ratio(F.col("brand"), F.col("name")).alias("ratio")).where("ratio > 80")
+
+
 @query()
 def fuzzy_ratio_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Brands against list names that begin with the same letter and are about as long: ratio above 80."""
     b = table(spark, d, "products").select(F.lower(F.trim("brand")).alias("brand")).where("brand <> ''").distinct()
-    n = F.broadcast(table(spark, d, "domain_taxonomy_nodes").where("attribute_id = 5 and parent_id <> 0").select(F.lower("name").alias("name")).limit(100_000))
-    near = b.join(n, (F.substring("brand", 1, 1) == F.substring("name", 1, 1)) & (F.abs(F.length("brand") - F.length("name")) <= 1) & (F.substring("brand", -2, 2) == F.substring("name", -2, 2)))
-    return near.withColumn("ratio", X.ratio(F.col("brand"), F.col("name"))).where("ratio > 80")
+    n = table(spark, d, "domain_taxonomy_nodes").where("attribute_id = 5 and parent_id <> 0").select(F.lower("name").alias("name"))
+    return ratio_pairs(b, n)
 
 
 @query("SELECT name, levenshtein(lower(name), 'castelo') AS distance FROM (SELECT DISTINCT lower(string_split(name, ' ')[1]) AS name FROM domain_taxonomy_nodes WHERE parent_id <> 0) WHERE regexp_matches(name, '^[a-z]+$') ORDER BY 2, 1 LIMIT 10")
