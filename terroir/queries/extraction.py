@@ -2,32 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terroir.functions.text import sentences
 from terroir.operators import dictionary as D
-from terroir.operators.lookup import load, lookup
-from terroir.session import table
+from terroir.operators.lookup import Index, load, lookup
+from terroir.session import cut, table
 
 #: Attributes by pattern, as (code, datatype, RE2 and Java pattern).
 PATTERNS = [("barrel_months", "float", r"(\d+) months in barrels"), ("vine_age", "float", r"about (\d+) years old"), ("wild_yeast", "boolean", r"wild yeast"), ("whole_bunch", "boolean", r"whole bunches")]
 NEAR = "SELECT doc_id, code, CASE WHEN dt = 'float' THEN TRY_CAST(regexp_extract(text, p, 1) AS DOUBLE) END AS value_float, CASE WHEN dt = 'boolean' THEN TRUE END AS value_boolean FROM documents, (VALUES {}) x(code, dt, p) WHERE regexp_matches(text, p)".format(", ".join(f"('{c}', '{t}', '{p}')" for c, t, p in PATTERNS))
 
 
+def pattern_cells(text: str) -> Column:
+    """Array of (code, value_float, value_boolean) of the patterns that occur in a text."""
+    cells = F.array(*[F.when(F.col(text).rlike(p), F.struct(F.lit(c).alias("code"), (F.regexp_extract(text, p, 1).try_cast("double") if t == "float" else F.lit(None).cast("double")).alias("value_float"), (F.lit(True) if t == "boolean" else F.lit(None).cast("boolean")).alias("value_boolean"))) for c, t, p in PATTERNS])
+    return F.filter(cells, lambda x: x.isNotNull())
+
+
 def extract_typed_rows(spark: SparkSession, d: str) -> DataFrame:
     """One typed row for each attribute whose pattern occurs in a text."""
-    cells = F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(c).alias("code"), (F.regexp_extract("text", p, 1).try_cast("double") if t == "float" else F.lit(None).cast("double")).alias("value_float"), (F.lit(True) if t == "boolean" else F.lit(None).cast("boolean")).alias("value_boolean"))) for c, t, p in PATTERNS])
-    return table(spark, d, "documents").select("doc_id", F.inline(F.filter(cells, lambda x: x.isNotNull())))
+    return table(spark, d, "documents").select("doc_id", F.inline(pattern_cells("text")))
+
+
+def named(texts: DataFrame, keys: list[str], index: Index) -> DataFrame:
+    """keys, code, entity_id, value, n: houses, places and grapes that sentences name, in any language."""
+    found = lookup(texts, "sentence", index, single_brand=False).where("code in ('brand', 'region', 'varietals')")
+    return texts.join(found, "sentence").groupBy(*keys, "code", "entity_id", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def split(texts: DataFrame) -> DataFrame:
+    """Sentences of more than five characters in place of text."""
+    return texts.withColumn("sentence", F.explode(sentences(F.col("text")))).drop("text").where("length(sentence) > 5")
 
 
 def extract_from_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Houses, places and grapes that the sentences of a text name, each once a document."""
     index = load(D.build(table(spark, d, "domain_taxonomy_nodes"), table(spark, d, "domain_attributes")))
-    s = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(sentences(F.col("text"))).alias("sentence")).where("length(sentence) > 5")
-    found = lookup(s, "sentence", index, single_brand=False).where("code in ('brand', 'region', 'varietals')")
-    return s.join(found, "sentence").groupBy("doc_id", "code", "entity_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    return named(split(table(spark, d, "documents").select("doc_id", "text")), ["doc_id"], index)
+
+
+def product_sentences(products: DataFrame) -> DataFrame:
+    """source_product_id, origin (review, name, description), sentence.
+
+    A review without content is read as the description; a name is one sentence. Rows delivered
+    twice count once.
+    """
+    parsed = F.from_json(F.trim("reviews"), "array<struct<reviewer_name:string,score_str:string,content:string>>")
+    reviews = products.where(F.trim("reviews").startswith("[")).select("source_product_id", "description", F.inline(parsed)).distinct()
+    empty = F.col("content").isNull() | F.col("content").rlike("^[\"'\\s]*$")
+    said = reviews.select("source_product_id", F.lit("review").alias("origin"), F.when(empty, F.col("description")).otherwise(F.col("content")).alias("text"))
+    about = products.select("source_product_id", F.lit("description").alias("origin"), F.col("description").alias("text")).distinct()
+    names = products.where("trim(name) <> ''").select("source_product_id", F.lit("name").alias("origin"), F.col("name").alias("sentence")).distinct()
+    return split(said.unionByName(about)).unionByName(names)
+
+
+def product_attributes(products: DataFrame, index: Index) -> DataFrame:
+    """source_product_id, origin, code, entity_id, value, value_float, value_boolean, n (sentences):
+    entries named in, and patterns found in, each sentence of reviews, name and description."""
+    s = cut(product_sentences(products))
+    keys = ["source_product_id", "origin"]
+    entries = named(s, keys, index).withColumn("value_float", F.lit(None).cast("double")).withColumn("value_boolean", F.lit(None).cast("boolean"))
+    typed = s.select(*keys, F.inline(pattern_cells("sentence"))).groupBy(*keys, "code", "value_float", "value_boolean").agg(F.count(F.lit(1)).alias("n"))
+    return entries.unionByName(typed, allowMissingColumns=True)
+
+
+def extract_from_products(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes that all sentences of a product's reviews, name and description state."""
+    index = load(D.build(table(spark, d, "domain_taxonomy_nodes"), table(spark, d, "domain_attributes")))
+    return product_attributes(table(spark, d, "products"), index)
 
 
-QUERIES = {f.__name__: f for f in (extract_typed_rows, extract_from_sentences)}
+QUERIES = {f.__name__: f for f in (extract_typed_rows, extract_from_sentences, extract_from_products)}
 ORACLE = {"extract_typed_rows": NEAR}

@@ -155,17 +155,31 @@ def fallback_chain(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "products").select("source_product_id", F.coalesce(first_stated(c("description"), c("highlights"), c("characteristics")), F.lit("none")).alias("about")).distinct()
 
 
+def top_terms(texts: DataFrame) -> DataFrame:
+    """doc_id, w, score of the three heaviest words of each text."""
+    tf = texts.select("doc_id", F.explode(simple_words(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    n = tf.agg(F.countDistinct("doc_id")).first()[0]
+    s = tf.join(df, "w").select("doc_id", "w", F.round(F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1), 6).alias("score"))
+    return s.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "w"))).where("r <= 3").select("doc_id", "w", "score")
+
+
 @query(
     f"""WITH w AS (SELECT doc_id, unnest({WORDS.format("text")}) AS w FROM documents WHERE lang = 'en'), tf AS (SELECT doc_id, w, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
  s AS (SELECT doc_id, w, round(tf * (ln((1 + (SELECT count(DISTINCT doc_id) FROM tf)) / (1.0 + df)) + 1), 6) AS score FROM tf JOIN df USING (w)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, w) AS r FROM s) SELECT doc_id, w, score FROM r WHERE r <= 3"""
 )
 def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
-    """The three heaviest words of each text."""
-    tf = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(simple_words(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    n = tf.agg(F.countDistinct("doc_id")).first()[0]
-    s = tf.join(df, "w").select("doc_id", "w", F.round(F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1), 6).alias("score"))
-    return s.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "w"))).where("r <= 3").select("doc_id", "w", "score")
+    """The three heaviest words of each English text; all texts are in tfidf_top_terms_all."""
+    return top_terms(table(spark, d, "documents").where("lang = 'en'"))
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, unnest({WORDS.format("text")}) AS w FROM documents), tf AS (SELECT doc_id, w, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
+ s AS (SELECT doc_id, w, round(tf * (ln((1 + (SELECT count(DISTINCT doc_id) FROM tf)) / (1.0 + df)) + 1), 6) AS score FROM tf JOIN df USING (w)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, w) AS r FROM s) SELECT doc_id, w, score FROM r WHERE r <= 3"""
+)
+def tfidf_top_terms_all(spark: SparkSession, d: str) -> DataFrame:
+    """The three heaviest words of each text, in all languages."""
+    return top_terms(table(spark, d, "documents"))
 
 
 @query()
