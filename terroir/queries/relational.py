@@ -87,11 +87,17 @@ def disambiguate_codes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_type, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents WHERE trim(doc_type) <> '' AND length(text) < 60 GROUP BY 1")
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Short texts grouped by their class."""
+    """Short texts grouped by their class; every text with a class is in training_rows_all."""
     t = table(spark, d, "documents").where("trim(doc_type) <> '' and length(text) < 60")
     return t.groupBy("doc_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("ids"))
 
 
+@query("SELECT doc_id, trim(doc_type) AS doc_type, trim(text) AS text FROM documents WHERE trim(doc_type) <> ''")
+def training_rows_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every text that has a class, with its class: a row each, of any length."""
+    return table(spark, d, "documents").where("trim(doc_type) <> ''").select("doc_id", F.trim("doc_type").alias("doc_type"), F.trim("text").alias("text"))
+
+
 @query("SELECT code, datatype IN ('float', 'currency') AS is_numeric, datatype = 'float' AS is_scalar, NOT coalesce(has_taxonomy, FALSE) AS is_free, code IN ('price', 'qpr', 'qoh') AS is_offer FROM domain_attributes")
 def metadata_predicates(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("datatype")
