@@ -96,7 +96,8 @@ class Reference:
     def weights(self, ws: list[str]) -> dict[str, float]:
         return {g: n * self.idf.get(g, self.unseen) for g, n in Counter(g for w in ws for g in grams(w)).items()}
 
-    def candidates(self, ws: list[str], most: int = 24) -> list[tuple[int, float]]:
+    def candidates(self, ws: list[str]) -> list[tuple[int, float]]:
+        """Every entry above the threshold: a lower cosine can still have the least cost."""
         weights = self.weights(ws)
         size = sum(x * x for x in weights.values()) ** 0.5
         score = np.zeros(len(self.node))
@@ -106,8 +107,6 @@ class Reference:
                 score[ks] += x * xs
         score /= self.norm * max(size, 1e-9)
         near = np.flatnonzero(score >= THRESHOLD)
-        if len(near) > most:  # only the best can be accepted; equal scores stay in
-            near = near[score[near] >= np.partition(score[near], -most)[-most]]
         return [(int(k), float(score[k])) for k in near]
 
     def agrees(self, value: list[str], entry: list[str]) -> float | None:

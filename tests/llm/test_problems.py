@@ -1,12 +1,13 @@
 """Listings, survivors, mapping, leaks and cut texts: small cases with known results, and hostile tables."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 
-from terroir.llm.canonical import edit_distance, map_values, mapped_fields
+from terroir.llm.canonical import Reference, edit_distance, grams, key_words, map_values, mapped_fields
 from terroir.llm.leakage import ItemBlock, leaked, leaked_items
 from terroir.llm.listings import product_groups, product_pairs
 from terroir.llm.survivors import survivors, true_places
@@ -72,6 +73,13 @@ def test_mapping_in_blocks_equals_mapping_at_once(spark, nodes, monkeypatch):
     assert dict(whole) == {"Vodamault": 100, "Finca Talanrea": 106, "Mitemuelo": -1, "Viña Mitemuelo": 104, "none": -1}
 
 
+def test_all_candidates_are_checked():
+    names = [f"Domaine Vodamau{c}" for c in "abcdefghijklmnopqrstuvwxyz"] + ["Domaine Vodamault"]
+    frequency = Counter(g for n in names for w in key_words(n) for g in set(grams(w)))
+    entries = Reference([(i, 0, n) for i, n in enumerate(names)], frequency, len(names), {"domaine"})
+    assert [k for k, _ in entries.candidates(key_words("Domaine Vodamau"))] == list(range(len(names)))
+
+
 def test_edit_distance():
     assert [edit_distance(*x, 2) for x in (("abc", "abc"), ("abc", "acb"), ("abc", "ab"), ("abc", "xyz"), ("", "a"))] == [0, 1, 1, 3, 1]
 
