@@ -11,7 +11,7 @@ from terroir.llm.canonical import Reference, edit_distance, grams, key_words, ma
 from terroir.llm.leakage import ItemBlock, leaked, leaked_items
 from terroir.llm.listings import product_groups, product_pairs
 from terroir.llm.survivors import survivors, true_places
-from terroir.llm.truncation import bare_end, fit_censored, source_limits, truncated, truncation_by_source
+from terroir.llm.truncation import bare_end, find_limits, fit_censored, judged, source_limits, truncated, truncation_by_source
 from terroir.llm.words import words
 
 T0 = datetime(2022, 5, 1)
@@ -229,7 +229,7 @@ def test_marks():
 def test_censored_fit_recovers_the_distribution():
     x = np.random.default_rng(2).normal(5, 0.7, 20_000)
     at = 5.5
-    mu, sd, _ = fit_censored(x[x < at], np.ones((x < at).sum()), at, float((x >= at).sum()))
+    mu, sd = fit_censored(x[x < at], np.ones((x < at).sum()), at, float((x >= at).sum()))
     assert abs(mu - 5) < 0.03 and abs(sd - 0.7) < 0.03
 
 
@@ -265,16 +265,68 @@ def test_cut_texts(spark):
     got = {r.doc_id for r in truncated(d).collect()}
     assert len(got & cut) >= 0.9 * len(cut) and len(got - cut) <= 0.06 * len(got)
     by = {r.source: r for r in truncation_by_source(d).collect()}
-    assert by["limit"].limit_length == 255 and by["limit"].limit_unit == "chars" and by["free"].limit_length is None
+    assert [tuple(x) for x in by["limit"].limits] == [(255, "chars")] and by["free"].limits is None
     assert truncated(d.limit(0)).count() == 0
 
 
-def test_limits_need_a_spike():
+def lengths(*parts):
     import pandas as pd
 
-    r = np.random.default_rng(1)
-    lens, n = np.unique(np.round(np.exp(r.normal(5, 0.8, 3000))).clip(5), return_counts=True)
-    free = pd.DataFrame({"source": "s", "unit": "chars", "len": lens, "n": n})
-    assert len(source_limits(free)) == 0
-    lens, n = np.unique(np.minimum(np.round(np.exp(r.normal(5, 0.8, 3000))).clip(5), 300), return_counts=True)
-    assert source_limits(pd.DataFrame({"source": "s", "unit": "chars", "len": lens, "n": n}))["high"].unique().tolist() == [300]
+    lens, n = np.unique(np.concatenate(parts), return_counts=True)
+    return pd.DataFrame({"source": "s", "unit": "chars", "len": lens, "n": n})
+
+
+def drawn(mean, sd, n, seed=1):
+    return np.round(np.exp(np.random.default_rng(seed).normal(mean, sd, n))).clip(5)
+
+
+def highs(*parts):
+    return sorted(source_limits(lengths(*parts))["high"].unique().tolist())
+
+
+def test_limits_need_a_spike():
+    assert all(highs(drawn(5, 0.8, 3000, seed)) == [] for seed in range(10))
+    assert highs(np.minimum(drawn(5, 0.8, 3000), 300)) == [300]
+
+
+def test_limits_below_the_longest_text_and_several_of_one_source():
+    texts = drawn(8.6, 1.0, 2000)
+    assert highs(np.minimum(texts, 10_000), [10_500]) == [10_000] == highs(np.minimum(texts, 10_000), [10_500, 20_000, 90_000])
+    assert highs(np.minimum(drawn(10.8, 1.0, 2000), 100_000)) == [100_000]
+    two = drawn(6, 1.0, 3000)
+    assert highs(np.minimum(two[:1500], 300), np.minimum(two[1500:], 1000)) == [300, 1000]
+    assert highs(np.minimum(two[:1000], 300), np.minimum(two[1000:2000], 1000), two[2000:]) == [300, 1000]
+    # cut at a whole word: the lengths are spread below the limit
+    assert highs(np.where(two > 500, 500 - np.random.default_rng(3).integers(0, 15, len(two)), two)) == [500]
+
+
+def test_a_text_at_a_limit_above_65536_is_cut(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    docs = [(i, (f"{word()} {word()}. " * 9000)[: min(100_000, int(np.exp(r.gauss(11.3, 0.8))))], "s") for i in range(60)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    rows, limits = judged(d)
+    assert [x.high for x in limits.select("high").distinct().collect()] == [100_000]
+    at = {i for i, t, _ in docs if len(t) == 100_000}
+    assert {x.doc_id for x in rows.where("p_limit > 0.5").collect()} == at and len(at) > 15
+
+
+def test_an_ambiguous_ending_is_decided_by_the_limit(spark):
+    r = random.Random(6)
+    words = ["plum", "stone", "cedar", "slate", "lime", "smoke", "moss", "thyme", "peach", "amber", "resin", "clove"]
+    docs = []
+    for i in range(1600):
+        remark = " ".join(r.choice(words) for _ in range(r.randint(1, 16)))  # whole remarks without a stop
+        whole = i % 2 == 0
+        docs.append((i, remark if whole else remark[:40], "free" if whole else "limit"))
+    at = [(i, t) for i, t, s in docs if s == "limit" and len(t) == 40 and t.split(" ")[-1] in words]
+    free = {i for i, _, s in docs if s == "free"}  # such remarks where no limit explains their ends
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    got = {x.doc_id for x in truncated(d).collect()}
+    assert len(at) > 20 and len(got & {i for i, _ in at}) >= 0.9 * len(at) and len(got & free) <= 0.03 * len(free)
+
+
+def test_copies_make_no_limit(spark):
+    r = random.Random(8)
+    docs = [(i, "x" * max(5, int(np.exp(r.gauss(5, 0.8)))), "s") for i in range(600)] + [(1000 + i, "loved this one", "s") for i in range(600)]
+    assert find_limits(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).count() == 0
