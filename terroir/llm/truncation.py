@@ -51,6 +51,9 @@ STOP = re.compile(r"[.!?。！？]['\"”»’)\]]*(?:\s|<|$)")
 BROKEN = re.compile(r"\ufffd$|&(?:#[xX]?[0-9a-fA-F]*|[a-z]{1,7}|#)$|<(?:/?[a-zA-Z][^<>]*)$")
 TOKEN = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*|[^\w\s]|_|\n+", re.U)
 TAIL = 300
+#: A mark and the space around it take no more than so many characters.
+MARKED = 80
+DIGIT, DIGITS = re.compile(r"\d"), re.compile(r"\d+")
 
 
 # -- limits ------------------------------------------------------------------------------------
@@ -213,33 +216,36 @@ def find_limits(texts: DataFrame) -> DataFrame:
 def bare_end(text: str) -> tuple[str, bool]:
     """Text without outer space at its end and without a mark of a cut; whether there was one."""
     end = text.rstrip()
-    m = MARK.search(end)
+    near = end[-MARKED:]
+    m = MARK.search(near)
     if m and m.group(0).strip() and ("…" in m.group(0) or "..." in m.group(0) or "[" in m.group(0)):
-        return end[: m.start()].rstrip(), True
+        return end[: len(end) - len(near) + m.start()].rstrip(), True
     return end, False
 
 
+def _norm(token: str) -> str:
+    return DIGITS.sub("9", token.lower()) if token.strip() else "\n"
+
+
 def features(text: str) -> list[int]:
     """Hashed features of a text's ending."""
-    tail = text[-TAIL:]
-    tail = tail.rstrip()
-    low = re.sub(r"\d", "9", tail.lower())
+    tail = text[-TAIL:].rstrip()
+    low = DIGIT.sub("9", tail[-12:].lower())
     out = [f"c{k}{low[-k:]}" for k in (1, 2, 3, 4, 5, 6, 8, 10)]
-    tokens = TOKEN.findall(tail)
-    norm = [re.sub(r"\d+", "9", t.lower()) if t.strip() else "\n" for t in tokens]
-    shape = ["9" if t[0].isdigit() else "X" if t[0].isupper() else "x" if t[0].isalpha() else n for t, n in zip(tokens, norm)]
-    a, b, c = (["^"] * 3 + norm)[-3:]
-    sa, sb, sc = (["^"] * 3 + shape)[-3:]
+    tokens = (["^"] * 3 + TOKEN.findall(tail[-120:]))[-3:]
+    norm = [_norm(t) for t in tokens]
+    a, b, c = norm
+    sa, sb, sc = ["9" if t[0].isdigit() else "X" if t[0].isupper() else "x" if t[0].isalpha() else n for t, n in zip(tokens, norm)]
     out += [f"w1{c}", f"w2{b} {c}", f"w3{a} {b} {c}", f"p1{b}", f"p2{a} {b}", f"s1{sc}", f"s2{b} {sc}", f"s3{a} {b} {sc}", f"s4{sa}{sb}{sc}"]
     # the piece after the last stop or line end
     stops = [m.end() for m in STOP.finditer(tail[:-1])]
     at = max([*stops, tail.rfind("\n") + 1, tail.rfind(">") + 1 if not tail.endswith(">") else 0])
     piece = tail[at:].strip()
-    parts = [re.sub(r"\d+", "9", t.lower()) for t in TOKEN.findall(piece)]
+    parts = TOKEN.findall(piece)
+    first = [_norm(t) for t in parts[:2]]
     start = "n" if at and tail[:at].endswith("\n") else "s" if at else "^"
-    first = " ".join(parts[:2])
     size = min(len(parts), 12)
-    out += [f"f1{parts[0] if parts else ''}", f"f2{first}", f"l{size}{start}", f"l2{start}{piece[:1].isupper()}{piece[:1].isalpha()}", f"k{':' in piece}{'|' in tail}{'#' in piece}", f"n{min(len(stops), 3)}", f"z{start}{sc}{min(size, 4)}"]
+    out += [f"f1{first[0] if first else ''}", f"f2{' '.join(first)}", f"l{size}{start}", f"l2{start}{piece[:1].isupper()}{piece[:1].isalpha()}", f"k{':' in piece}{'|' in tail}{'#' in piece}", f"n{min(len(stops), 3)}", f"z{start}{sc}{min(size, 4)}"]
     if piece.count("&") > piece.count(";") or piece.count("<") > piece.count(">"):
         out.append("open mark")
     return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in out]
