@@ -36,10 +36,26 @@ JOINING = {"the", "and", "e", "et", "und", "y", "of", "from", "di", "de", "do",
 ADDED = {"wine", "wines", "producer", "region", "grape", "grapes", "old", "vines", "ava", "aoc", "doc", "docg", "igt", "d", "o"}
 
 
+def _up_to_one(a: str, b: str) -> int:
+    """0, 1, or 2 for more edits."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > 1:
+        return 2
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(b))
+    if len(a) > len(b):
+        return 1 if a[i + 1 :] == b[i:] else 2
+    if i == len(a):
+        return 0
+    return 1 if a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]) else 2
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Edits (a swap of neighbours counts one), or most + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if most <= 1:
+        return min(_up_to_one(a, b), most + 1)
     two, one, row = [], list(range(len(b) + 1)), []
     for i, x in enumerate(a, 1):
         row = [i]

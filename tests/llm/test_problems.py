@@ -111,7 +111,7 @@ def test_listings_of_nothing(spark, nodes, rates):
 
 def test_errors_in_numbered_and_short_cuvees(spark, nodes, rates):
     name = "Château Vodamault {} Bravenolo Gris 2017"
-    cuvees = ["Barrel 40", "Barrel 40", "Barrl 40", "Baorel 40", "Barrel 41", "Lot 7", "Lot 7", "Loot 7", "Lot 8", "Une", "Une", "Uae", "Ostu", "Osti"]
+    cuvees = ["Barrel 40", "Barrel 40", "Barrl 40", "Baorel 40", "Barrel 41", "Lot 7", "Lot 7", "Loot 7", "Lot 8", "Une", "Cuvée Une", "Cvuée Uae", "Ostu", "Osti"]
     rows = [(i, name.format(c), None, None, None, None) for i, c in enumerate(cuvees)]
     got = sorted(tuple(r) for r in product_pairs(product_groups(listings(spark, rows), nodes, rates)).collect())
     assert got == sorted((a, b) for g in ([0, 1, 2, 3], [5, 6, 7], [9, 10, 11]) for a in g for b in g if a < b)
@@ -120,7 +120,7 @@ def test_errors_in_numbered_and_short_cuvees(spark, nodes, rates):
 def test_orders_selling_words_and_two_errors_of_cuvees(spark, nodes, rates):
     name = "{} {} Bravenolo Gris 2017"
     houses = ["Château Vodamault", "Domaine Negirôme", "Cantina Nostirone", "Maison Facherange", "Finca Talanera"]
-    cuvees = ["Owl Harrow", "Harrow Owl", "Owl Harrow Stupendous", "Sitetrozo", "Sitetrozo", "Stietrozzo", "Sitemalo"]
+    cuvees = ["Owl Harrow", "Harrow Owl", "Owl Harrow Stupendous Catch 12", "Sitetrozo", "Sitetrozo", "Stietrozzo", "Sitemalo"]
     rows = [(10 * h + i, name.format(house, c), None, None, None, None) for h, house in enumerate(houses) for i, c in enumerate(cuvees)]
     # a word that stands beside a cuvée at one house only tells it apart
     rows += [(90, name.format(houses[0], "Owl Harrow Upper"), None, None, None, None)]
