@@ -9,9 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Common words that a lookup leaves out.
-COMMON_WORDS = ("a", "an", "and", "are", "at", "by", "for", "from", "in", "is", "of", "on", "or", "the", "to", "with", "dollar")
+COMMON_WORDS = ("a", "and", "the", "an", "du", "del", "do", "da", "le", "la", "i", "co", "company", "inc", "no", "not", "or")
 #: Tokens whose presence is a feature of a question.
-FEATURE_TOKENS = ("what", "which", "who", "where", "when", "why", "how", "is", "are", "do", "does", "can", "show", "find", "best", "cheap")
+FEATURE_TOKENS = ("want", "question_does", "recommend", "question_is", "explain", "define", "compare", "what", "what_is", "what_does", "attribute", "attribute_unit", "category", "question_mark", "attribute_price", "predicate")
 
 
 def clean(c: Column) -> Column:
@@ -51,8 +51,11 @@ def simple_words(c: Column) -> Column:
 
 
 def without_common_words(c: Column) -> Column:
-    """Struct (text, removed): the words that aren't common ones, and the positions taken out."""
-    ws = F.split(F.regexp_replace(F.regexp_replace(c, r"\$", "dollar "), "&", " and "), r"\s+")
+    """Struct (text, removed): the words that aren't common ones, and the positions taken out.
+
+    A dollar sign reads as 'dollar' and an ampersand as 'and', closed up to what stands beside it.
+    """
+    ws = F.split(F.regexp_replace(F.regexp_replace(c, r"\$", "dollar"), "&", "and"), r"(?U)\s+")
     ws = F.filter(ws, lambda w: w != "")
     common = F.array(*[F.lit(w) for w in COMMON_WORDS])
     removed = F.filter(F.transform(ws, lambda w, i: F.when(F.array_contains(common, w), i)), lambda i: i.isNotNull())
@@ -72,13 +75,18 @@ def plain_signs(c: Column) -> Column:
     return F.ltrim(F.regexp_replace(c, r"[^A-Za-z0-9$]+", " "))
 
 
+#: Where a text is split into sentences: at white space after a stop, but not after
+#: abbreviations, titles and (in the first) initials.
+SENTENCE_END = r"(?U)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<![A-Z]\.)(?<=\.|\?)\s"
+SUMMARY_SENTENCE_END = r"(?U)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?)\s"
+
+
 def sentences(c: Column) -> Column:
-    """Split at white space after a stop, but not after initials, titles or abbreviations."""
-    return F.split(c, r"(?U)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<![A-Z]\.)(?<=\.|\?)\s", -1)
+    return F.split(c, SENTENCE_END, -1)
 
 
 def summary_sentences(c: Column) -> Column:
-    return F.split(c, r"(?U)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?)\s", -1)
+    return F.split(c, SUMMARY_SENTENCE_END, -1)
 
 
 def without_links(c: Column) -> Column:

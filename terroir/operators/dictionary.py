@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terroir.functions.text import cleanup, without_common_words
+from terroir.session import small
 
 #: Fixed values of the scoring.
 PERFECT_BONUS, NGRAM_BONUS, CUTOFF_SHARE = 1.25, 0.5, 0.0007
@@ -25,7 +26,7 @@ class Dictionary:
 
 def entries_of(nodes: DataFrame, attributes: DataFrame) -> DataFrame:
     """entity_id, code, text of every name and alias of the list; roots are left out."""
-    a = F.broadcast(attributes.select("attribute_id", "code").limit(2000))
+    a = small(attributes.select("attribute_id", "code"))
     names = F.concat(F.array("name"), F.coalesce(F.from_json("aliases", "array<string>"), F.array().cast("array<string>")))
     return nodes.where("parent_id <> 0").join(a, "attribute_id").select(F.col("id").alias("entity_id"), "code", F.col("name").alias("base"), F.explode(names).alias("text"))
 

@@ -6,7 +6,7 @@ distinct sentences and broadcasts the dictionary, whose size is checked.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -21,6 +21,8 @@ MAX_ENTRIES = 200_000
 MASK = "*********"
 #: Words of the category that say nothing in a partial match.
 CATEGORY_WORDS = {"wine", "wines"}
+#: Endings of plural nouns and of their singulars.
+PLURALS = (("ies", "y"), ("ches", "ch"), ("shes", "sh"), ("ses", "s"), ("xes", "x"), ("zes", "z"), ("men", "man"), ("s", ""))
 SCHEMA = "code string, entity_id bigint, value string, start int, `end` int, score double"
 
 
@@ -30,6 +32,7 @@ class Settings:
 
     fuzzy_length: int = 4
     fuzzy_ratio: int = 80
+    known_penalty: int = 5
     ngram_bonus: float = 0.5
     perfect_bonus: float = 1.25
     brand_penalty: float = 0.30
@@ -83,30 +86,46 @@ class Index:
             ids.sort(key=lambda i: (-self.entries[i].max_idf, self.entries[i].entity_id))
 
     def fuzzy_score(self, word: str, other: str) -> float | None:
+        """How well a query's word `other` fits an entry's word, if it isn't equal; None if it doesn't."""
         s = self.settings
         if word[:1] != other[:1] or abs(len(word) - len(other)) > 1:
             return None
-        if min(len(word), len(other)) == 3:
-            return 0.95 if word + "s" == other or other + "s" == word else None
         if min(len(word), len(other)) < s.fuzzy_length:
-            return None
-        r = indel_ratio(word, other) - (5 if other in self.idf else 0)
+            # of short words only a plural is seen through
+            if s.fuzzy_length - 1 not in (len(word), len(other)) or (word + "s" != other and other + "s" != word):
+                return None
+        r = indel_ratio(word, other) - (s.known_penalty if self.idf.get(other) else 0)
         return r / 100 if r > s.fuzzy_ratio else None
 
+    def lemma(self, word: str) -> str:
+        """The singular of a noun, if the dictionary has it; else the word."""
+        for end, new in PLURALS:
+            if word.endswith(end) and len(word) > len(end) and self.idf.get(word[: -len(end)] + new):
+                return word[: -len(end)] + new
+        return word
+
+    def fuzzy_idf(self, word: str, other: str) -> float:
+        own, query, root = self.idf.get(word, 0.0), self.idf.get(other, 0.0), self.idf.get(self.lemma(other), 0.0)
+        known = root if root > 0 and (root < query or query == 0) else query
+        return min(known, own, self.settings.high_idf) if known > 0 else min(own, self.settings.high_idf)
+
     def match(self, entry: Entry, query: list[str], fuzzy: bool) -> Match:
         """Greedy: each word of the entry takes the first free word of the query that fits."""
         used: set[int] = set()
         out = Match(entry, [], [])
         for k, w in enumerate(entry.words):
-            own = self.idf.get(w, 0.0)
-            best = next(((q, 1.0, own) for q, x in enumerate(query) if q not in used and x == w), None)
-            if best is None and fuzzy:
-                for q, x in enumerate(query):
-                    if q not in used and x != MASK and (r := self.fuzzy_score(w, x)) is not None:
-                        best = (q, r, min(self.idf.get(x, own), own, self.settings.high_idf))
-                        break
+            best = None
+            for q, x in enumerate(query):
+                if q in used:
+                    continue
+                if x == w:
+                    best = (q, 1.0, self.idf.get(w, 0.0))
+                elif fuzzy and x != MASK and (r := self.fuzzy_score(w, x)) is not None:
+                    best = (q, r, self.fuzzy_idf(w, x))
+                if best:
+                    break
             if best is None:
-                out.unmatched.append((w, own))
+                out.unmatched.append((w, self.idf.get(w, 0.0)))
             else:
                 used.add(best[0])
                 out.matched.append((w, k, *best))
@@ -165,9 +184,13 @@ class Index:
             found = set(self.by_letter.get(first[:1], ()))
         return [self.entries[i] for i in sorted(found) if codes is None or self.entries[i].code in codes]
 
+    def query(self, sentence: str) -> list[str]:
+        """The words of a cleaned sentence, common ones masked so that the others keep their places."""
+        return [MASK if w in COMMON_WORDS else w for w in sentence.replace("$", "dollar").split()]
+
     def cover(self, sentence: str, *, fuzzy: bool = False, single_brand: bool = True, brand: bool = True, codes: set[str] | None = None) -> tuple[list[Match], list[int]]:
         """Matches of a cleaned sentence in the order found, and the positions left over."""
-        query = [MASK if w in COMMON_WORDS else w for w in sentence.split()]
+        query = self.query(sentence)
         if not query:
             return [], []
         fits = lambda e: (brand or e.code != "brand") and (codes is None or e.code in codes)
@@ -233,13 +256,74 @@ def lookup(sentences: DataFrame, text: str, index: Index, **options: object) ->
                     rows.append((raw, m.entry.code, m.entry.entity_id, m.entry.value, min(m.positions), max(m.positions), m.score))
             yield pd.DataFrame(rows, columns=["raw", "code", "entity_id", "value", "start", "end", "score"])
 
-    distinct = sentences.select(F.col(text).alias("raw")).where(F.length(F.trim("raw")) > 0).distinct().withColumn("cleaned", cleanup(F.col("raw")))
-    return spread(distinct).mapInPandas(each, f"raw string, {SCHEMA}").withColumnRenamed("raw", f"{text}_text" if text in ("code", "entity_id", "value", "start", "end", "score") else text)
+    return _distinct(sentences, text).mapInPandas(each, f"raw string, {SCHEMA}").withColumnRenamed("raw", f"{text}_text" if text in ("code", "entity_id", "value", "start", "end", "score") else text)
+
+
+def _distinct(sentences: DataFrame, text: str) -> DataFrame:
+    return spread(sentences.select(F.col(text).alias("raw")).where(F.length(F.trim("raw")) > 0).distinct().withColumn("cleaned", cleanup(F.col("raw"))))
+
+
+def count_candidates(sentences: DataFrame, text: str, index: Index) -> DataFrame:
+    """text, n_candidates (entities) of every distinct sentence."""
+    shared = Shared(sentences.sparkSession, index)
+
+    def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            n = [len({e.entity_id for e in shared.value.candidates(shared.value.query(c), None)}) for c in pdf["cleaned"]]
+            yield pd.DataFrame({"raw": pdf["raw"], "n_candidates": n})
+
+    return _distinct(sentences, text).mapInPandas(each, "raw string, n_candidates bigint").withColumnRenamed("raw", text)
+
 
+ANSWER = "attributes array<struct<code:string,entity_id:bigint,value:string,original:string,start:int,`end`:int,score:double>>, extra_words array<string>"
 
-def best_per_code(matches: Iterable[Match]) -> dict[str, Match]:
-    out: dict[str, Match] = {}
-    for m in matches:
-        if m.entry.code not in out or m.score > out[m.entry.code].score:
-            out[m.entry.code] = m
-    return out
+
+def answer(index: Index, cleaned: str, codes: set[str] | None, brand: bool, **options: object) -> tuple[list[tuple], list[str]]:
+    """Attributes of a cleaned sentence by their places, and the words that none of them takes."""
+    words = cleaned.replace("$", "dollar").split()
+    found, left = index.cover(cleaned, brand=brand and (codes is None or "brand" in codes), codes=codes, **options)
+    taken: dict[str, str] = {}
+    rows = []
+    for m in sorted(found, key=lambda m: (min(m.positions), -m.score, m.entry.entity_id)):
+        # a value that another attribute has taken isn't said twice
+        if taken.setdefault(m.entry.value, m.entry.code) == m.entry.code:
+            a, b = min(m.positions), max(m.positions)
+            rows.append((m.entry.code, m.entry.entity_id, m.entry.value, " ".join(words[a : b + 1]), a, b, m.score))
+    common = [q for q, w in enumerate(words) if w in COMMON_WORDS]
+    return rows, [words[q] for q in sorted({*left, *common})]
+
+
+def attribute_lookup(sentences: DataFrame, text: str, index: Index, *, codes: Sequence[str] = (), brand: bool = False, fallback: bool = True, **options: object) -> DataFrame:
+    """text, attributes and extra_words (ANSWER) of every distinct sentence.
+
+    codes: only attributes of these; if a sentence has none of them and fallback is set, all that it
+    has. brand: whether houses may be found. Attributes stand by their places; of attributes with
+    one value and different codes the first counts. Null and blank sentences have no row.
+    """
+    shared, wanted = Shared(sentences.sparkSession, index), set(codes) or None
+
+    def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for raw, cleaned in zip(pdf["raw"], pdf["cleaned"]):
+                rows, left = answer(shared.value, cleaned, wanted, brand, **options)
+                if not rows and wanted and fallback:
+                    rows, left = answer(shared.value, cleaned, None, brand, **options)
+                out.append((raw, [dict(zip(("code", "entity_id", "value", "original", "start", "end", "score"), r)) for r in rows], left))
+            yield pd.DataFrame(out, columns=["raw", "attributes", "extra_words"])
+
+    return _distinct(sentences, text).mapInPandas(each, f"raw string, {ANSWER}").withColumnRenamed("raw", text)
+
+
+def disambiguated(df: DataFrame, text: str, names: DataFrame, predicates: DataFrame) -> DataFrame:
+    """df with code: the attribute that a text speaks of, null if none.
+
+    names: code, name, ord (names and aliases of attributes with a predicate): the first one that
+    occurs in the text counts. Else the first predicate (code, pattern, ord) that matches.
+    """
+    listed = lambda t, c: t.where(F.col(c).isNotNull()).agg(F.array_sort(F.collect_list(F.struct("ord", F.col(c).alias("p"), "code")))).scalar()
+    said = F.coalesce(F.col(text), F.lit(""))
+    both = df.withColumn("__names", listed(names, "name")).withColumn("__predicates", listed(predicates, "pattern"))
+    named = F.get(F.filter("__names", lambda r: said.contains(r["p"])), F.lit(0))["code"]
+    matched = F.get(F.filter("__predicates", lambda r: F.rlike(said, r["p"])), F.lit(0))["code"]
+    return both.withColumn("code", F.coalesce(named, matched)).drop("__names", "__predicates")

@@ -77,12 +77,12 @@ def resolve(df: DataFrame, value: str, entries: DataFrame, name: str, node: str,
 def override(df: DataFrame, code: str, rules: DataFrame, target: str, subject: str) -> DataFrame:
     """target replaced by the last rule (by ord) of the code whose pattern occurs in subject.
 
-    rules: attr_code, pattern, attr_value, ord; few rows, taken to the driver up to 1,000.
+    rules: attr_code, pattern, attr_value, ord; any number. They are grouped into one value, of all
+    rules in order, in which each row of df looks for the last that fits.
     """
-    found = F.lit(None).cast("string")
-    for r in rules.where((F.col("attr_code") == code) & (F.col("pattern") != "")).orderBy("ord").limit(1000).collect():
-        found = F.when(F.col(subject).rlike(f"(?i){r.pattern}"), F.lit(r.attr_value)).otherwise(found)
-    return df.withColumn(target, F.coalesce(found, F.col(target)))
+    found = rules.where((F.col("attr_code") == code) & (F.col("pattern") != "")).agg(F.array_sort(F.collect_list(F.struct((-F.col("ord")).alias("o"), F.concat(F.lit("(?i)"), "pattern").alias("p"), F.col("attr_value").alias("v")))).alias("__rules"))
+    hit = F.get(F.filter("__rules", lambda r: F.rlike(F.coalesce(F.col(subject), F.lit("")), r["p"])), F.lit(0))["v"]
+    return df.withColumn("__rules", found.scalar()).withColumn(target, F.coalesce(hit, F.col(target))).drop("__rules")
 
 
 def combine_same_code(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -102,14 +102,14 @@ def islands(df: DataFrame, keys: Sequence[str], pos: str, item: str) -> DataFram
     return runs.groupBy(*keys, "__i").agg(F.min(pos).alias("first_pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, item))), lambda x: x[item]), " ").alias("items")).drop("__i")
 
 
-def last_run_length(pairs: Column) -> Column:
-    """Length of the last run of pairs (a, b) in which both go up by one; 0 for none."""
-    step = F.aggregate(
-        pairs,
-        F.struct(F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"), F.lit(0).alias("n")),
-        lambda s, x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.when((x["a"] == s["a"] + 1) & (x["b"] == s["b"] + 1), s["n"] + 1).otherwise(1).alias("n")),
-    )
-    return step["n"]
+def run_lengths(df: DataFrame, keys: Sequence[str], pos: str, other: str) -> DataFrame:
+    """keys, longest, last: lengths of the runs in which pos and other both go up by one from row to
+    row (in the order of pos). Runs are keyed by where they start, so a group needs no array."""
+    over = W.partitionBy(*keys).orderBy(pos)
+    goes = (F.col(pos) == F.lag(pos).over(over) + 1) & (F.col(other) == F.lag(other).over(over) + 1)
+    runs = df.withColumn("__new", (~F.coalesce(goes, F.lit(False))).cast("long")).withColumn("__run", F.sum("__new").over(over))
+    n = runs.groupBy(*keys, "__run").agg(F.count(F.lit(1)).alias("__n"))
+    return n.groupBy(*keys).agg(F.max("__n").alias("longest"), F.max_by("__n", "__run").alias("last"))
 
 
 def aggregate_score(df: DataFrame, keys: Sequence[str], score: str, modifier: str) -> DataFrame:

@@ -7,13 +7,24 @@ from pyspark.sql import functions as F
 
 from terroir.functions.text import first_line_matches, summary_sentences
 
-#: What makes a sentence unfit for a summary; all look at the first line only.
-UNFIT = [r".*[0-9][0-9].*", r".*\(.*\).*", r".*points.*", r"[0-9][0-9]\(.*\)", r".*[4-9][0-9][+].*", r"\(.*\)"]
+#: What makes a whole summary unfit, and what a single sentence; all are matched from
+#: the start and look at the first line only.
+UNFIT_SUMMARY = [r".*[0-9][0-9].*", r".*\(.*\).*", r".*points.*", r"[0-9][0-9]\(.*\)"]
+UNFIT_SENTENCE = [r".*points.*", r"[0-9][0-9]\(.*\)", r".*[4-9][0-9][+].*"]
+#: Fixed value: a sentence that is one bracket from its first to its last sign is unfit too.
+BRACKETED = r"(?d)\A\(.*\)\z"
 
 
-def is_fit(c: Column) -> Column:
+def is_fit_summary(c: Column) -> Column:
     out = F.lit(True)
-    for p in UNFIT:
+    for p in UNFIT_SUMMARY:
+        out = out & ~first_line_matches(c, p)
+    return out
+
+
+def is_fit_sentence(c: Column) -> Column:
+    out = ~c.rlike(BRACKETED)
+    for p in UNFIT_SENTENCE:
         out = out & ~first_line_matches(c, p)
     return out
 
@@ -37,8 +48,8 @@ def block(scored: Column, budget: int = 50) -> Column:
 
 
 def cleaned(c: Column) -> Column:
-    """The text if it is fit, else its fit sentences."""
-    return F.when(is_fit(c), c).otherwise(F.array_join(F.filter(summary_sentences(c), is_fit), " "))
+    """The text if it is a fit summary, else its fit sentences."""
+    return F.when(is_fit_summary(c), c).otherwise(F.trim(F.array_join(F.transform(F.filter(summary_sentences(c), is_fit_sentence), lambda s: F.trim(s)), " ")))
 
 
 def summarize(blocks: DataFrame, key: str, budget: int = 50) -> DataFrame:

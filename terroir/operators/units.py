@@ -152,6 +152,29 @@ def changepoints(n: np.ndarray, s: np.ndarray, q: np.ndarray, penalty: float) ->
     return starts[::-1]
 
 
+def reversed_units(levels: np.ndarray, options: Sequence[float], ref: float) -> list[float]:
+    """The factor of each segment of one source's history, from the levels (logs) of its amounts.
+
+    A shift between neighbours that is a ratio of known factors marks a change of unit: the factors
+    are chosen together, so that the reversed levels of neighbours lie as close as they can, and all
+    of them to the level known from stated units (ref; nan if there is none: then the first factor
+    is the least change). An exact dynamic programme over the segments.
+    """
+    logs = np.log10(options)
+    level = levels[:, None] + logs[None, :]
+    own = np.abs(level - ref) if ref == ref else np.tile(np.arange(len(options)) * 1e-3, (len(levels), 1))
+    cost, back = own[0], []
+    for before, here, at in zip(level, level[1:], own[1:]):
+        step = cost[:, None] + np.abs(here[None, :] - before[:, None])
+        back.append(step.argmin(axis=0))
+        cost = step.min(axis=0) + at
+    k = int(cost.argmin())
+    path = [k]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return [options[i] for i in reversed(path)]
+
+
 def _segment(bins: pd.DataFrame, factors: dict[str, tuple[float, ...]], penalty: float) -> pd.DataFrame:
     bins = bins.sort_values("bin", kind="stable")
     n, s, q = (bins[c].to_numpy(float) for c in ("n", "s", "q"))
@@ -163,13 +186,11 @@ def _segment(bins: pd.DataFrame, factors: dict[str, tuple[float, ...]], penalty:
     var = max(inner / max(total - len(n), 1.0), (step / 0.954) ** 2 / 2 if total <= len(n) else 0.0, 1e-4)
     starts = changepoints(n, s, q, penalty * var * np.log(max(total, 2.0)))
     ref, field_name = bins["ref"].iloc[0], bins["field_name"].iloc[0]
+    ends = [*starts[1:], len(n)]
+    levels = np.array([s[a:b].sum() / n[a:b].sum() for a, b in zip(starts, ends)])
     chosen = np.zeros(len(n))
-    for a, b in zip(starts, [*starts[1:], len(n)]):
-        level = s[a:b].sum() / n[a:b].sum()
-        options = factors[field_name]
-        # a level known from stated units decides; without one, the first factor
-        far = [abs(level + np.log10(f) - ref) if ref == ref else 0.0 for f in options]
-        chosen[a:b] = options[int(np.argmin(far))]
+    for a, b, f in zip(starts, ends, reversed_units(levels, factors[field_name], ref)):
+        chosen[a:b] = f
     return pd.DataFrame({"source_id": bins["source_id"].to_numpy(), "field_name": field_name, "bin": bins["bin"].to_numpy(), "factor": chosen})
 
 
@@ -184,7 +205,9 @@ def common_units(products: DataFrame, fx_rates: DataFrame, *, fields: Sequence[s
     with equal values gives one row. A bare number of a source without scraped_at is put in the
     source's first bin.
     """
-    fx = {r.currency: float(r.usd_per_unit) for r in fx_rates.where(F.col("currency").isNotNull() & F.col("usd_per_unit").isNotNull()).limit(1000).collect()}
+    # only the currencies that can be read count; one row of each comes to the driver
+    rates = fx_rates.where(F.col("currency").isin(list(CURRENCY_MARKS)) & F.col("usd_per_unit").isNotNull()).groupBy("currency").agg(F.max("usd_per_unit").alias("usd_per_unit"))
+    fx = {r.currency: float(r.usd_per_unit) for r in rates.collect()}
     fx.setdefault("USD", 1.0)
     seconds = F.coalesce(F.col("scraped_at").cast("timestamp").cast("double"), F.lit(0.0))
     df = products.select("source_product_id", "source_id", F.floor(seconds / bin_seconds).alias("bin"), "bottle_size", "alcohol_pct", "price")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terroir.functions import fields as X
 from terroir.operators import records as R
-from terroir.session import table
+from terroir.session import small, table
 
 ORACLE: dict[str, str] = {}
 QUERIES: dict = {}
@@ -64,7 +64,7 @@ def catalog_filter_eav(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     kept = _judged(spark, d).where(c("drop_reason").isNull() & (c("price_n") >= 1))
     rows = R.shred(kept, ["source_product_id"], [("price", "currency", c("price_n")), ("qoh", "integer", c("qoh_n")), ("brand", "text", c("brand")), ("region", "text", c("region")), ("wine_type", "text", c("wine_type"))])
-    attrs = F.broadcast(table(spark, d, "domain_attributes").select("attribute_id", "code").limit(2000))
+    attrs = small(table(spark, d, "domain_attributes").select("attribute_id", "code"))
     return rows.join(attrs, "code").select("source_product_id", "attribute_id", "code", "datatype", "value_text", "value_integer", "value_cents")
 
 
@@ -91,7 +91,7 @@ def site_fields(spark: SparkSession, d: str) -> DataFrame:
 )
 def kv_table_pivot(spark: SparkSession, d: str) -> DataFrame:
     """Label-value rows into columns, the last row of a label counts."""
-    attrs = F.broadcast(table(spark, d, "domain_attributes").select("attribute_id", "code").limit(2000))
+    attrs = small(table(spark, d, "domain_attributes").select("attribute_id", "code"))
     rows = table(spark, d, "source_attribute_values").withColumn("v", F.nullif(F.trim("value"), F.lit(""))).join(attrs, "attribute_id").where("v is not null and code in ('body', 'designation', 'closure')")
     return rows.groupBy("source_product_id").agg(*[F.max_by("v", F.when(F.col("code") == k, F.col("sav_id"))).alias(k) for k in ("body", "designation", "closure")])
 
@@ -202,7 +202,7 @@ def incremental_route(spark: SparkSession, d: str) -> DataFrame:
     """What each row of an incremental run needs: pass, drop, a new detail page or a new stock reading."""
     k = table(spark, d, "products").groupBy("source_id", "single_product_url").agg(F.max(F.col("qoh").try_cast("int")).alias("stored")).withColumn("known", F.lit(True))
     u = table(spark, d, "update_products").select("source_id", "sequence_id", "single_product_url", "name", F.nullif(F.trim("qoh"), F.lit("")).alias("q")).distinct()
-    s = F.broadcast(table(spark, d, "sources").select("source_id", "min_qoh_threshold").limit(100_000))
+    s = small(table(spark, d, "sources").select("source_id", "min_qoh_threshold"))
     j = u.join(k, ["source_id", "single_product_url"], "left").join(s, "source_id", "left")
     route = F.when(F.col("name").isNull() | (F.trim("name") == ""), "drop").when(F.col("q").isNotNull(), "pass").when(F.col("known").isNull(), "fetch_detail").when(F.coalesce("stored", F.lit(0)) <= F.col("min_qoh_threshold"), "refetch_qoh").otherwise("pass")
     return j.groupBy("source_id", route.alias("route")).agg(F.count(F.lit(1)).alias("n"))
@@ -268,7 +268,7 @@ def root_words_map(spark: SparkSession, d: str) -> DataFrame:
  (SELECT max(sav_id) FROM a WHERE a.source_product_id = f.source_product_id AND a.code = f.code) AS last_id, CASE WHEN count(*) < 2 THEN '$eq' WHEN code = 'price' THEN '$between' ELSE '$in' END AS relation FROM f GROUP BY source_product_id, code"""
 )
 def combine_same_code(spark: SparkSession, d: str) -> DataFrame:
-    attrs = F.broadcast(table(spark, d, "domain_attributes").select("attribute_id", "code").limit(2000))
+    attrs = small(table(spark, d, "domain_attributes").select("attribute_id", "code"))
     a = table(spark, d, "source_attribute_values").where(F.trim("value") != "").select("source_product_id", "attribute_id", "value", F.col("sav_id").alias("start"), F.col("sav_id").alias("end")).distinct().join(attrs, "attribute_id")
     return R.combine_same_code(a, ["source_product_id"]).select("source_product_id", "code", F.array_join("values", "|").alias("vals"), F.col("start").alias("first_id"), F.col("end").alias("last_id"), "relation")
 

@@ -72,13 +72,13 @@ def numeric_values(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "products").select("body", F.nullif(n, F.lit(0.0)).alias("number"), n.isNotNull().alias("is_number"), F.bround(n * 10, 0).cast("long").alias("tenths")).distinct()
 
 
-@query("SELECT id, attribute_id, parent_id, name, row_number() OVER (ORDER BY parent_id, id) AS ord FROM domain_taxonomy_nodes ORDER BY parent_id, id LIMIT 10001")
+@query("SELECT id, attribute_id, parent_id, name, row_number() OVER (PARTITION BY attribute_id ORDER BY parent_id, id) AS ord FROM domain_taxonomy_nodes")
 def taxonomy_load(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes in load order, up to the loader's limit of 10,001 rows."""
+    """All nodes, numbered in load order (parents first) within their attribute."""
     from pyspark.sql import Window as W
 
-    top = table(spark, d, "domain_taxonomy_nodes").select("id", "attribute_id", "parent_id", "name").orderBy("parent_id", "id").limit(10_001)
-    return top.withColumn("ord", F.row_number().over(W.orderBy("parent_id", "id")).cast("long"))
+    nodes = table(spark, d, "domain_taxonomy_nodes").select("id", "attribute_id", "parent_id", "name")
+    return nodes.withColumn("ord", F.row_number().over(W.partitionBy("attribute_id").orderBy("parent_id", "id")).cast("long"))
 
 
 @query()

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terroir.functions.text import COMMON_WORDS
 from terroir.operators import dictionary as D
-from terroir.operators.lookup import load, lookup
+from terroir.operators.lookup import Index, count_candidates, load, lookup
+from terroir.queries import sqltext as Q
 from terroir.session import table
 
-#: Entries and words in SQL; words are split at blanks after ASCII punctuation became blanks.
-WORDS_SQL = r"list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9à-ÿœ]+', ' ', 'g'), ' '), lambda w: w <> '' AND NOT list_contains([{}], w))".format(", ".join(f"'{w}'" for w in COMMON_WORDS))
-ENTRIES_SQL = f"""SELECT *, {WORDS_SQL} AS words FROM (SELECT id AS entity_id, code, n.name AS base, unnest(list_concat([n.name], CAST(CAST(n.aliases AS JSON) AS VARCHAR[]))) AS text FROM domain_taxonomy_nodes n JOIN domain_attributes a USING (attribute_id) WHERE parent_id <> 0)"""
+#: Entries and their words in SQL, by the cleaning steps written out there.
+ENTRIES_SQL = f"""SELECT *, {Q.lookup_words("text")} AS words FROM (SELECT id AS entity_id, code, n.name AS base, unnest(list_concat([n.name], CAST(CAST(n.aliases AS JSON) AS VARCHAR[]))) AS text FROM domain_taxonomy_nodes n JOIN domain_attributes a USING (attribute_id) WHERE parent_id <> 0)"""
 IDF_SQL = f"""SELECT token, count(*) AS df, ln((1 + (SELECT count(*) FROM ({ENTRIES_SQL}))) / (1.0 + count(*))) + 1 AS idf FROM (SELECT unnest(list_distinct(words)) AS token FROM ({ENTRIES_SQL})) GROUP BY 1"""
 WEIGHED_SQL = f"""WITH e AS ({ENTRIES_SQL}), i AS ({IDF_SQL}), c AS (SELECT quantile_cont(idf::DOUBLE, 0.0007) AS cut FROM i), w AS (SELECT entity_id, code, text, unnest(words) AS token FROM e)
  SELECT entity_id, code, text, sum(idf) * 1.25 * CASE WHEN count(*) > 1 THEN 1 + 0.5 * count(*) ELSE 1 END AS max_idf,
@@ -32,11 +31,7 @@ def query(sql: str | None = None):
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
-    """Entries with words made as in the SQL, so that both engines split alike."""
-    e = D.entries_of(table(spark, d, "domain_taxonomy_nodes"), table(spark, d, "domain_attributes"))
-    common = F.array(*[F.lit(w) for w in COMMON_WORDS])
-    ws = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9à-ÿœ]+", " "), " "), lambda w: (w != "") & ~F.array_contains(common, w))
-    return e.withColumn("words", ws).withColumn("word_count", F.size("words"))
+    return D.lookup_form(D.entries_of(table(spark, d, "domain_taxonomy_nodes"), table(spark, d, "domain_attributes")))
 
 
 def _weighed(spark: SparkSession, d: str) -> DataFrame:
@@ -72,36 +67,39 @@ def dict_text_ids(spark: SparkSession, d: str) -> DataFrame:
     return D.text_ids(_weighed(spark, d)).select("text", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
-VALUES_SQL = f"SELECT v, {WORDS_SQL.replace('text', 'v')} AS words FROM (SELECT DISTINCT region AS v FROM products WHERE trim(region) <> '')"
+#: Distinct typed places with their words, common ones left out.
+VALUES_SQL = f"SELECT v, list_filter(string_split_regex(replace({Q.cleanup('v')}, '$', 'dollar'), '[\\s\\pZ]+'), lambda w: w <> '' AND NOT list_contains([{Q.COMMON}], w)) AS words FROM (SELECT DISTINCT region AS v FROM products WHERE trim(region) <> '')"
+
+
+def _index(spark: SparkSession, d: str) -> Index:
+    return load(D.build(table(spark, d, "domain_taxonomy_nodes"), table(spark, d, "domain_attributes")))
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
-    common = F.array(*[F.lit(w) for w in COMMON_WORDS])
-    ws = F.filter(F.split(F.regexp_replace(F.lower("v"), "[^a-z0-9à-ÿœ]+", " "), " "), lambda w: (w != "") & ~F.array_contains(common, w))
-    return table(spark, d, "products").select(F.col("region").alias("v")).where(F.trim("v") != "").distinct().withColumn("words", ws)
+    return table(spark, d, "products").select(F.col("region").alias("v")).where(F.trim("v") != "").distinct()
 
 
-@query(f"SELECT v, min(e.entity_id) AS entity_id FROM ({VALUES_SQL}) q JOIN ({ENTRIES_SQL}) e ON array_to_string(q.words, ' ') = array_to_string(e.words, ' ') WHERE len(q.words) > 0 GROUP BY 1")
+@query(
+    f"""WITH e AS ({ENTRIES_SQL}), w AS ({WEIGHED_SQL}), x AS (SELECT array_to_string(e.words, ' ') AS t, e.entity_id, max_idf FROM e JOIN w ON w.entity_id = e.entity_id AND w.code = e.code AND w.text = e.text)
+ SELECT v, arg_min(entity_id, (-max_idf, entity_id)) AS entity_id FROM ({VALUES_SQL}) q JOIN x ON array_to_string(q.words, ' ') = t WHERE len(q.words) > 0 GROUP BY 1"""
+)
 def lookup_exact(spark: SparkSession, d: str) -> DataFrame:
-    """Values whose words are those of an entry; of several entries the smallest id."""
-    e = _entries(spark, d).groupBy(F.array_join("words", " ").alias("t")).agg(F.min("entity_id").alias("entity_id"))
-    return _values(spark, d).where(F.size("words") > 0).join(e, F.array_join("words", " ") == F.col("t")).select("v", "entity_id")
+    """Values whose words are those of an entry, by the lookup's own cover: of several entries the weightiest, then the smallest id."""
+    return lookup(_values(spark, d), "v", _index(spark, d)).where("score = 1000").select("v", "entity_id")
 
 
 @query(
-    f"""WITH q AS (SELECT DISTINCT v, unnest(words)[1:3] AS p FROM ({VALUES_SQL})), x AS (SELECT DISTINCT entity_id, code, text, unnest(words)[1:3] AS p FROM ({ENTRIES_SQL})),
- w AS ({WEIGHED_SQL}) SELECT v, count(DISTINCT x.entity_id) AS n_candidates FROM q JOIN x USING (p) JOIN w ON w.entity_id = x.entity_id AND w.code = x.code AND w.text = x.text AND NOT list_contains(string_split(w.insufficient, ','), p) GROUP BY 1"""
+    f"""WITH e AS ({ENTRIES_SQL}), w AS ({WEIGHED_SQL}), v AS ({VALUES_SQL}), q AS (SELECT DISTINCT v, unnest(words)[1:3] AS p FROM v), x AS (SELECT DISTINCT entity_id, code, text, unnest(words) AS word FROM e),
+ hit AS (SELECT v, entity_id FROM q JOIN x ON x.word[1:3] = q.p JOIN w USING (entity_id, code, text) WHERE NOT list_contains(string_split(w.insufficient, ','), p)),
+ far AS (SELECT v, entity_id FROM v JOIN x ON x.word[1:1] = words[1][1:1] WHERE v NOT IN (SELECT v FROM hit)) SELECT v.v, count(DISTINCT h.entity_id) AS n_candidates FROM v LEFT JOIN (SELECT * FROM hit UNION ALL SELECT * FROM far) h USING (v) GROUP BY 1"""
 )
 def lookup_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """How many entities share a sufficient prefix with each value."""
-    q = _values(spark, d).select("v", F.explode(F.array_distinct(F.transform("words", lambda w: F.substring(w, 1, 3)))).alias("p"))
-    x = _weighed(spark, d).select("entity_id", "insufficient", F.explode(F.array_distinct(F.transform("words", lambda w: F.substring(w, 1, 3)))).alias("p"))
-    return q.join(x.where(~F.array_contains("insufficient", F.col("p"))), "p").groupBy("v").agg(F.countDistinct("entity_id").alias("n_candidates"))
+    """How many entities share a sufficient prefix with each value; if none, its first letter."""
+    return count_candidates(_values(spark, d), "v", _index(spark, d))
 
 
 @query()
 def lookup_attributes(spark: SparkSession, d: str) -> DataFrame:
     """Houses, places, grapes and kinds found in the names of all listings."""
-    index = load(D.build(table(spark, d, "domain_taxonomy_nodes"), table(spark, d, "domain_attributes")))
-    out = lookup(table(spark, d, "products"), "name", index, fuzzy=True)
+    out = lookup(table(spark, d, "products"), "name", _index(spark, d), fuzzy=True)
     return out.withColumn("score", F.round("score", 6))

@@ -11,7 +11,7 @@ from terroir.functions.text import simple_words
 from terroir.operators import dictionary as D
 from terroir.operators.lookup import load, lookup
 from terroir.plans.jobs import validate
-from terroir.session import table
+from terroir.session import small, table
 
 ORACLE: dict[str, str] = {}
 QUERIES: dict = {}
@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 @query("SELECT DISTINCT p.source_product_id, s.source_name, coalesce(s.trust_rank, 0) AS trust_rank, r.master_product_id FROM products p JOIN sources s USING (source_id) LEFT JOIN (SELECT sku, min(master_product_id) AS master_product_id FROM product_records GROUP BY 1) r ON r.sku = p.sku WHERE s.is_active")
 def products_with_sources(spark: SparkSession, d: str) -> DataFrame:
-    s = F.broadcast(table(spark, d, "sources").where("is_active").select("source_id", "source_name", "trust_rank").limit(100_000))
+    s = small(table(spark, d, "sources").where("is_active").select("source_id", "source_name", "trust_rank"))
     r = table(spark, d, "product_records").groupBy("sku").agg(F.min("master_product_id").alias("master_product_id"))
     return table(spark, d, "products").select("source_product_id", "source_id", "sku").join(s, "source_id").join(r, "sku", "left").select("source_product_id", "source_name", F.coalesce("trust_rank", F.lit(0)).alias("trust_rank"), "master_product_id").distinct()
 
@@ -38,14 +38,14 @@ def products_with_sources(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT n.id, n.name, a.code, p.name AS parent FROM domain_taxonomy_nodes n JOIN domain_attributes a USING (attribute_id) LEFT JOIN domain_taxonomy_nodes p ON p.id = n.parent_id WHERE a.category_id = 1")
 def dictionary_join(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "domain_taxonomy_nodes")
-    a = F.broadcast(table(spark, d, "domain_attributes").where("category_id = 1").select("attribute_id", "code").limit(2000))
+    a = small(table(spark, d, "domain_attributes").where("category_id = 1").select("attribute_id", "code"))
     p = n.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
     return n.join(a, "attribute_id").join(p, "parent_id", "left").select("id", "name", "code", "parent")
 
 
 @query("SELECT source_product_id, sav_id, value FROM (SELECT DISTINCT source_product_id, sav_id, value, attribute_id FROM source_attribute_values) JOIN domain_attributes USING (attribute_id) WHERE code = 'short_desc' AND length(value) > 5")
 def attribute_texts(spark: SparkSession, d: str) -> DataFrame:
-    a = F.broadcast(table(spark, d, "domain_attributes").where("code = 'short_desc'").select("attribute_id").limit(2000))
+    a = small(table(spark, d, "domain_attributes").where("code = 'short_desc'").select("attribute_id"))
     return table(spark, d, "source_attribute_values").select("source_product_id", "sav_id", "value", "attribute_id").where("length(value) > 5").distinct().join(a, "attribute_id").select("source_product_id", "sav_id", "value")
 
 
@@ -79,7 +79,7 @@ def longest_first(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT v, arg_min(id, (o, id)) AS id FROM (SELECT lower(n.name) AS v, n.id, CASE a.code WHEN 'region' THEN 1 WHEN 'varietals' THEN 2 WHEN 'brand' THEN 3 ELSE 9 END AS o FROM domain_taxonomy_nodes n JOIN domain_attributes a USING (attribute_id)) GROUP BY 1")
 def disambiguate_codes(spark: SparkSession, d: str) -> DataFrame:
     """Of entries with one name the one whose code comes first in a given order."""
-    a = F.broadcast(table(spark, d, "domain_attributes").select("attribute_id", "code").limit(2000))
+    a = small(table(spark, d, "domain_attributes").select("attribute_id", "code"))
     at = F.array_position(F.array(*[F.lit(c) for c in ("region", "varietals", "brand")]), F.col("code"))
     n = table(spark, d, "domain_taxonomy_nodes").join(a, "attribute_id").withColumn("o", F.when(at > 0, at).otherwise(9))
     return n.groupBy(F.lower("name").alias("v")).agg(F.min_by("id", F.struct("o", "id")).alias("id"))
@@ -134,7 +134,7 @@ def vector_values(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT source_id, sequence_id, count(*) AS n FROM (SELECT DISTINCT v.*, s.sequence_id FROM source_attribute_values v JOIN (SELECT source_id, max(sequence_id) AS sequence_id FROM pipeline_sequence WHERE state = 'ready' GROUP BY 1) s USING (source_id)) GROUP BY 1, 2")
 def copy_with_sequence(spark: SparkSession, d: str) -> DataFrame:
     """Attribute rows stamped with their source's last finished run, counted."""
-    s = F.broadcast(table(spark, d, "pipeline_sequence").where("state = 'ready'").groupBy("source_id").agg(F.max("sequence_id").alias("sequence_id")).limit(100_000))
+    s = small(table(spark, d, "pipeline_sequence").where("state = 'ready'").groupBy("source_id").agg(F.max("sequence_id").alias("sequence_id")))
     return table(spark, d, "source_attribute_values").distinct().join(s, "source_id").groupBy("source_id", "sequence_id").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terroir.functions import text as X
 from terroir.operators import summary as S
+from terroir.queries import sqltext as Q
 from terroir.session import small, table
 
 ORACLE: dict[str, str] = {}
@@ -24,28 +25,28 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+@query(f"SELECT doc_id, i - 1 AS i, ss[i] AS sentence FROM (SELECT doc_id, ss, unnest(generate_series(1, len(ss))) AS i FROM ({Q.sentences('SELECT doc_id, text FROM documents WHERE text IS NOT NULL', 'text')})) WHERE length(ss[i]) > 5")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of more than five characters, numbered."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("i", "sentence")).where("length(sentence) > 5")
+    return table(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("i", "sentence")).where("length(sentence) > 5").withColumn("i", F.col("i").cast("long"))
 
 
-@query()
+@query(f"SELECT doc_id, i - 1 AS i, ss[i] AS sentence FROM (SELECT doc_id, ss, unnest(generate_series(1, len(ss))) AS i FROM ({Q.sentences('SELECT doc_id, text FROM documents WHERE text IS NOT NULL', 'text', False)}))")
 def summary_sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.posexplode(X.summary_sentences(F.col("text"))).alias("i", "sentence"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(X.summary_sentences(F.col("text"))).alias("i", "sentence")).withColumn("i", F.col("i").cast("long"))
 
 
-@query()
+@query(f"SELECT name, {Q.cleanup('name')} AS cleaned FROM (SELECT DISTINCT name FROM products)")
 def cleanup_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "products").select("name").distinct().select("name", X.cleanup(F.col("name")).alias("cleaned"))
 
 
-COMMON_SQL = ", ".join(f"'{w}'" for w in X.COMMON_WORDS)
+COMMON_SQL = Q.COMMON
 
 
 @query(
     rf"""SELECT DISTINCT name, array_to_string(list_filter(ws, lambda w: NOT list_contains([{COMMON_SQL}], w)), ' ') AS text, len(list_filter(ws, lambda w: list_contains([{COMMON_SQL}], w))) AS n_removed
- FROM (SELECT name, list_filter(string_split_regex(replace(regexp_replace(lower(name), '\$', 'dollar ', 'g'), '&', ' and '), '\s+'), lambda w: w <> '') AS ws FROM products WHERE name IS NOT NULL)"""
+ FROM (SELECT name, list_filter(string_split_regex(replace(replace(lower(name), '$', 'dollar'), '&', 'and'), '[\s\pZ]+'), lambda w: w <> '') AS ws FROM products WHERE name IS NOT NULL)"""
 )
 def common_words_removed(spark: SparkSession, d: str) -> DataFrame:
     s = X.without_common_words(F.lower("name"))
@@ -82,13 +83,15 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.count("w").alias("n"), F.countDistinct("w").alias("n_words"))
 
 
-TOKENS_SQL = ", ".join(f"CAST(list_contains(ws, '{t}') AS INTEGER) AS f_{t}" for t in X.FEATURE_TOKENS)
+#: Fixed values, written out as above.
+FEATURES = "want question_does recommend question_is explain define compare what what_is what_does attribute attribute_unit category question_mark attribute_price predicate"
+TOKENS_SQL = ", ".join(f"CAST(list_contains(ws, '{t}') AS INTEGER) AS f_{t}" for t in FEATURES.split())
 
 
-@query(f"SELECT doc_id, {TOKENS_SQL} FROM (SELECT doc_id, string_split(lower(text), ' ') AS ws FROM documents WHERE text IS NOT NULL)")
+@query(rf"SELECT doc_id, {TOKENS_SQL} FROM (SELECT doc_id, string_split_regex(lower(text), '[\s\pZ]+') AS ws FROM documents WHERE text IS NOT NULL)")
 def keyword_features(spark: SparkSession, d: str) -> DataFrame:
     """1 where a fixed token is a word of the text, else 0."""
-    ws = F.split(F.lower("text"), " ")
+    ws = F.split(F.lower("text"), r"(?U)\s+")
     return table(spark, d, "documents").where("text is not null").select("doc_id", *[F.array_contains(ws, t).cast("int").alias(f"f_{t}") for t in X.FEATURE_TOKENS])
 
 
@@ -175,17 +178,32 @@ def fulltext_top50(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, NOT (regexp_matches(l, '[0-9][0-9]') OR regexp_matches(l, '\(.*\)') OR contains(l, 'points')) AS fit FROM (SELECT doc_id, split_part(text, chr(10), 1) AS l FROM documents WHERE text IS NOT NULL)"""
+    r"""SELECT doc_id, NOT (regexp_matches(l, '[0-9][0-9]') OR regexp_matches(l, '\(.*\)') OR contains(l, 'points')) AS fit_summary,
+ NOT (contains(l, 'points') OR regexp_matches(l, '^[0-9][0-9]\(.*\)') OR regexp_matches(l, '[4-9][0-9]\+') OR (l = text AND starts_with(l, '(') AND ends_with(l, ')') AND length(l) > 1)) AS fit_sentence
+ FROM (SELECT doc_id, text, split_part(text, chr(10), 1) AS l FROM documents WHERE text IS NOT NULL)"""
 )
 def summary_fit(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", S.is_fit(F.col("text")).alias("fit"))
+    """Whether a text would do as a whole summary, and as one of its sentences."""
+    t = F.col("text")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", S.is_fit_summary(t).alias("fit_summary"), S.is_fit_sentence(t).alias("fit_sentence"))
 
 
-@query()
+#: The fold over sentences by falling score: a sentence that would reach the budget is skipped.
+SCORED_SQL = f"SELECT doc_id, source || '/' || lang AS key, list_transform(ss, lambda s: CAST(regexp_matches(s, '(?i)notes? of|months|aged|trace of') AS DOUBLE)) AS scores, ss FROM ({Q.sentences("SELECT doc_id, source, lang, text FROM documents WHERE trim(text) <> ''", 'text', False)})"
+BLOCKS_SQL = """SELECT *, list_filter(generate_series(1, len(ss)), lambda i: list_contains(kept, i)) AS k FROM (SELECT *, list_reduce(list_transform(list_sort(list_transform(generate_series(1, len(ss)), lambda i: struct_pack(m := -scores[i], i := i))), lambda x: [x.i]),
+ lambda a, x: CASE WHEN coalesce(list_sum(list_transform(a, lambda j: len(string_split(ss[j], ' ')))), 0) + len(string_split(ss[x[1]], ' ')) < 50 THEN a || x ELSE a END, CAST([] AS BIGINT[])) AS kept FROM ({}))"""
+BEST_SQL = f"""SELECT key, arg_max(text, (score, -doc_id)) AS text, max(score) AS score FROM (SELECT key, doc_id, array_to_string(list_transform(k, lambda j: ss[j]), ' ') AS text, coalesce(list_sum(list_transform(k, lambda j: scores[j])), 0) AS score FROM ({BLOCKS_SQL.format(SCORED_SQL)})) GROUP BY 1"""
+FIT_SENTENCE_SQL = r"NOT (contains(split_part({s}, chr(10), 1), 'points') OR regexp_matches(split_part({s}, chr(10), 1), '^[0-9][0-9]\(.*\)|[4-9][0-9]\+') OR (NOT contains({s}, chr(10)) AND starts_with({s}, '(') AND ends_with({s}, ')') AND length({s}) > 1))"
+FIT_SUMMARY_SQL = r"NOT (regexp_matches(split_part(text, chr(10), 1), '[0-9][0-9]|\(.*\)') OR contains(split_part(text, chr(10), 1), 'points'))"
+
+
+@query(
+    f"""SELECT key, score, CASE WHEN {FIT_SUMMARY_SQL} THEN text ELSE trim(array_to_string(list_transform(list_filter(ss, lambda s: {FIT_SENTENCE_SQL.format(s='s')}), lambda s: trim(s)), ' ')) END AS summary FROM ({Q.sentences(BEST_SQL, 'text', False)})"""
+)
 def summary_best_block(spark: SparkSession, d: str) -> DataFrame:
     """For each source and language the summary of its best document; a sentence scores 1 if it names a flavour or an age."""
     score = lambda s: F.when(s.rlike("(?i)notes? of|months|aged|trace of"), 1.0).otherwise(0.0)
-    rows = table(spark, d, "documents").where(F.trim("text") != "").select(F.concat_ws("/", "source", "lang").alias("key"), F.col("doc_id").alias("ord"), F.transform(X.summary_sentences(F.col("text")), lambda s: F.struct(s.alias("text"), score(s).alias("score"))).alias("sentences"))
+    rows = table(spark, d, "documents").where(F.trim("text") != "").select(F.concat("source", F.lit("/"), "lang").alias("key"), F.col("doc_id").alias("ord"), F.transform(X.summary_sentences(F.col("text")), lambda s: F.struct(s.alias("text"), score(s).alias("score"))).alias("sentences"))
     return S.summarize(rows, "key")
 
 
@@ -202,15 +220,16 @@ def unprocessed_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, CAST(props->>'$.k' AS INTEGER) // 25 AS k FROM events), x AS (SELECT *, coalesce(k = lag(k) OVER (PARTITION BY user_id ORDER BY r), FALSE) AS goes FROM p),
- y AS (SELECT *, sum((NOT goes)::INT) OVER (PARTITION BY user_id ORDER BY r) AS g FROM x) SELECT user_id, max(c) AS longest, arg_max(c, g) AS last FROM (SELECT user_id, g, count(*) AS c FROM y GROUP BY 1, 2) GROUP BY 1"""
+    """WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, CAST(props->>'$.k' AS INTEGER) // 25 AS k FROM events), x AS (SELECT *, coalesce(k = lag(k) OVER (PARTITION BY user_id ORDER BY r) + 1, FALSE) AS goes FROM p),
+ y AS (SELECT *, sum((NOT goes)::INT) OVER (PARTITION BY user_id ORDER BY r) AS g FROM x), z AS (SELECT user_id, g, count(*) AS c FROM y GROUP BY 1, 2) SELECT user_id, max(c) AS longest, arg_max(c, g) AS last FROM z GROUP BY 1"""
 )
 def run_length_last(spark: SparkSession, d: str) -> DataFrame:
-    """Length of each user's longest and last run of equal values."""
-    over = W.partitionBy("user_id").orderBy("event_id")
-    p = table(spark, d, "events").select("user_id", "event_id", F.floor(F.get_json_object("props", "$.k").cast("int") / 25).alias("k"))
-    y = p.withColumn("goes", F.coalesce(F.col("k") == F.lag("k").over(over), F.lit(False))).withColumn("g", F.sum((~F.col("goes")).cast("int")).over(over))
-    return y.groupBy("user_id", "g").agg(F.count(F.lit(1)).alias("c")).groupBy("user_id").agg(F.max("c").alias("longest"), F.max_by("c", "g").alias("last"))
+    """Length of each user's longest and last run of values that go up by one from event to event."""
+    from terroir.operators.records import run_lengths
+
+    p = table(spark, d, "events").select("user_id", "event_id", F.floor(F.get_json_object("props", "$.k").cast("int") / 25).cast("int").alias("k"))
+    p = p.withColumn("r", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")))
+    return run_lengths(p, ["user_id"], "r", "k")
 
 
 @query(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import pickle
 import tempfile
 
@@ -14,12 +13,18 @@ BROADCAST_ROWS = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a local one is made only where none is set (tests)."""
+    """The shared folder for checkpoints, as spark.checkpoint.dir names it.
+
+    Where none is named, a folder of this machine is made if Spark runs in one process (tests); on a
+    cluster its executors would each write to their own disks, so there it is an error.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if named is None:
-            named = os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getpid()}")
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(named)
     return named or sc._jsc.sc().getCheckpointDir().get()
 

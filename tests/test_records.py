@@ -62,8 +62,8 @@ def test_records(spark):
     got = {r.key: r.id for r in R.upsert(known, new, ["key"], "id").collect()}
     assert got["a"] == 5 and {got["c"], got["d"]} == {10, 11} and len(got) == 3
     assert R.upsert(known.limit(0), new, ["key"], "id").count() == 3
-    runs = spark.createDataFrame([([(0, 0), (1, 1), (2, 5), (3, 6), (4, 7)],), ([],)], "p array<struct<a:int,b:int>>")
-    assert [r.n for r in runs.select(R.last_run_length(F.col("p")).alias("n")).collect()] == [3, 0]
+    runs = spark.createDataFrame([(1, *p) for p in [(0, 0), (1, 1), (2, 5), (3, 6), (4, 7), (5, 7), (6, None), (7, 1)]] + [(2, 0, 3)], "k int, a int, b int")
+    assert sorted((r.k, r.longest, r.last) for r in R.run_lengths(runs, ["k"], "a", "b").collect()) == [(1, 3, 1), (2, 1, 1)]
     marked = R.mark_deleted(known, spark.createDataFrame([(5,), (5,), (None,)], "id bigint"), "id")
     assert {r.key: r.deleted for r in marked.collect()} == {"a": True, "b": False}
     vec = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (1, []), (2, None)], "k int, v array<double>")
