@@ -152,22 +152,33 @@ def changepoints(n: np.ndarray, s: np.ndarray, q: np.ndarray, penalty: float) ->
     return starts[::-1]
 
 
-def reversed_units(levels: np.ndarray, options: Sequence[float], ref: float) -> list[float]:
-    """The factor of each segment of one source's history, from the levels (logs) of its amounts.
+#: How far a shift of levels may be from the log ratio of two units.
+TOLERANCE = 0.1
 
-    A shift between neighbours that is a ratio of known factors marks a change of unit: the factors
-    are chosen together, so that the reversed levels of neighbours lie as close as they can, and all
-    of them to the level known from stated units (ref; nan if there is none: then the first factor
-    is the least change). An exact dynamic programme over the segments.
+
+def reversed_units(levels: np.ndarray, n: np.ndarray, options: Sequence[float], ref: float) -> list[float]:
+    """The factor of each segment of one source's history, from the levels (logs) and counts of its amounts.
+
+    A shift between neighbours marks a change of unit only if it is a ratio of two known factors;
+    any other shift is one of the amounts themselves. The factors are chosen together, so that the
+    marked shifts vanish and the reversed levels lie close to the level known from stated units
+    (ref; nan if there is none: then the first factor counts). An exact dynamic programme.
     """
     logs = np.log10(options)
-    level = levels[:, None] + logs[None, :]
-    own = np.abs(level - ref) if ref == ref else np.tile(np.arange(len(options)) * 1e-3, (len(levels), 1))
+    ratios = logs[:, None] - logs[None, :]  # how a level shifts when the unit goes from row to column
+    share = n / n.sum()
+    known = np.abs(levels[:, None] + logs[None, :] - ref) if ref == ref else np.tile(np.arange(len(options)) * 0.1, (len(levels), 1))
+    own = known * share[:, None]
     cost, back = own[0], []
-    for before, here, at in zip(level, level[1:], own[1:]):
-        step = cost[:, None] + np.abs(here[None, :] - before[:, None])
-        back.append(step.argmin(axis=0))
-        cost = step.min(axis=0) + at
+    for shift, at in zip(np.diff(levels), own[1:]):
+        left = np.abs(shift - ratios)
+        marked = left <= TOLERANCE
+        np.fill_diagonal(marked, False)
+        step = np.where(marked, left + 0.05, 10.0)
+        np.fill_diagonal(step, abs(shift) if marked.any() else 0.0)
+        total = cost[:, None] + step
+        back.append(total.argmin(axis=0))
+        cost = total.min(axis=0) + at
     k = int(cost.argmin())
     path = [k]
     for b in reversed(back):
@@ -188,8 +199,9 @@ def _segment(bins: pd.DataFrame, factors: dict[str, tuple[float, ...]], penalty:
     ref, field_name = bins["ref"].iloc[0], bins["field_name"].iloc[0]
     ends = [*starts[1:], len(n)]
     levels = np.array([s[a:b].sum() / n[a:b].sum() for a, b in zip(starts, ends)])
+    counts = np.array([n[a:b].sum() for a, b in zip(starts, ends)])
     chosen = np.zeros(len(n))
-    for a, b, f in zip(starts, ends, reversed_units(levels, factors[field_name], ref)):
+    for a, b, f in zip(starts, ends, reversed_units(levels, counts, factors[field_name], ref)):
         chosen[a:b] = f
     return pd.DataFrame({"source_id": bins["source_id"].to_numpy(), "field_name": field_name, "bin": bins["bin"].to_numpy(), "factor": chosen})
 
