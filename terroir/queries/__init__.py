@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["problems", "catalogue", "relational", "text", "lookup", "extraction", "ingest"]
+MODULES = ["problems", "catalogue", "relational", "text", "lookup", "extraction", "ingest", "sync"]
 
 
 def _modules():

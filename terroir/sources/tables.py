@@ -26,6 +26,11 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
+def read_nested(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """data: one nested JSON document of the given type for each line of the files, with the folders' columns."""
+    return spark.read.text(path).withColumn("data", F.from_json("value", kind)).drop("value")
+
+
 def parse_csv_line(c: Column, schema: str) -> Column:
     return F.from_csv(c, schema, {"quote": '"', "escape": '"'})
 

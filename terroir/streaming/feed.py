@@ -29,11 +29,21 @@ def run_once(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoi
     query.awaitTermination()
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """As run_once, into a table in memory that holds the complete result."""
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_folder(stream: DataFrame, folder: str) -> DataFrame:
+    """As run_once, of a stream that aggregates: its complete result, written by the executors.
+
+    Each batch writes the result so far to a folder of its own, so that a repeated batch does no
+    harm; the last one is read.
+    """
+    done: list[int] = []
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/result/{batch}")
+        done.append(batch)
+
+    run_once(stream, write, f"{folder}/progress", "complete")
+    spark = stream.sparkSession
+    return spark.read.parquet(f"{folder}/result/{max(done)}") if done else spark.createDataFrame([], stream.schema)
 
 
 def merge_latest(spark: SparkSession, state: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
