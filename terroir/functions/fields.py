@@ -67,3 +67,29 @@ def wine_kind(c: Column) -> Column:
 def score_number(c: Column) -> Column:
     """'92-94' -> 94, '90+' -> 90; null if it is no number."""
     return F.element_at(F.split(F.regexp_replace(c, r"\+", ""), "-"), -1).try_cast("int")
+
+
+def stock_sum(cells: Column) -> Column:
+    """Sum of an inventory's cells ('> 5', '7'); cells without a number count 0."""
+    n = F.transform(cells, lambda c: F.coalesce(F.regexp_replace(c, "[<> ]", "").try_cast("int"), F.lit(0)))
+    return F.aggregate(n, F.lit(0), lambda a, b: a + b)
+
+
+def stock_by_words(c: Column, none: str = "unavailable|inquire|sold out", some: int = 100) -> Column:
+    """0 if the text says that there is none, else a nominal number; null stays null."""
+    return F.when(F.lower(c).rlike(none), 0).otherwise(F.when(c.isNotNull(), some))
+
+
+def with_features(about: Column, **features: Column) -> Column:
+    """A description without enclosing quotes, and what else is stated after it, each under its name."""
+    rest = [F.when(F.trim(x) != "", F.concat(F.lit(f"{k}: "), F.trim(x))) for k, x in features.items()]
+    return F.concat_ws(" ", unquoted(about), *rest)
+
+
+def equal_or_same_text(a: Column, b: Column) -> Column:
+    return F.coalesce(a.eqNullSafe(b) | (a.cast("string") == b.cast("string")), F.lit(False))
+
+
+def words_between(words: Column, start: Column, end: Column) -> Column:
+    """The words at start..end - 1, joined; empty if there are none."""
+    return F.array_join(F.slice(words, start + 1, F.greatest(end - start, F.lit(0))), " ")

@@ -122,3 +122,26 @@ def mean_vector(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
     cells = df.where(F.size(vector) > 0).select(*keys, F.posexplode(vector).alias("__i", "__x"))
     means = cells.groupBy(*keys, "__i").agg(F.avg("__x").alias("__m"))
     return means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", "__m"))).alias("__v")).select(*keys, F.transform("__v", lambda x: x["__m"]).alias("vector"))
+
+
+VECTOR = "struct<attributes:array<struct<attr_id:bigint,values:array<struct<v_orig:string>>>>>"
+
+
+def assemble_vectors(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, vector: the attribute values (attribute_id, value) of each entity as one JSON text."""
+    one = values.where(F.col("value").isNotNull()).select(*keys, F.struct(F.col("attribute_id").cast("long").alias("attr_id"), F.array(F.struct(F.col("value").alias("v_orig"))).alias("values")).alias("a"))
+    return one.groupBy(*keys).agg(F.to_json(F.struct(F.array_sort(F.collect_list("a")).alias("attributes"))).alias("vector"))
+
+
+def update_vectors(vectors: DataFrame, news: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """vectors with the new values (attribute_id, value) of those entities that have a vector with the attribute."""
+    new = news.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("attribute_id").cast("long"), "value"))).alias("__new"))
+    both = vectors.join(new, list(keys), "left").withColumn("__v", F.from_json("vector", VECTOR))
+    put = F.transform(F.col("__v.attributes"), lambda a: F.struct(a["attr_id"].alias("attr_id"), F.coalesce(F.when(F.col("__new").isNotNull() & F.map_contains_key("__new", a["attr_id"]), F.array(F.struct(F.col("__new")[a["attr_id"]].alias("v_orig")))), a["values"]).alias("values")))
+    return both.select(*keys, F.to_json(F.struct(put.alias("attributes"))).alias("vector"))
+
+
+def vector_values(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, attribute_id, value: the first value of each attribute of the vectors."""
+    rows = vectors.select(*keys, F.explode(F.from_json("vector", VECTOR)["attributes"]).alias("a"))
+    return rows.select(*keys, F.col("a.attr_id").alias("attribute_id"), F.get("a.values", F.lit(0))["v_orig"].alias("value"))

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terroir.functions import fields as X
 from terroir.functions.fields import first_stated
 from terroir.functions.text import simple_words
 from terroir.operators import dictionary as D
+from terroir.operators import records as R
 from terroir.operators.lookup import load, lookup
 from terroir.plans.jobs import validate
+from terroir.plans.sync import listed
 from terroir.session import small, table
 
 ORACLE: dict[str, str] = {}
@@ -215,3 +218,56 @@ def node_lookup_values(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "products").select(F.col("region").alias("typed")).where("trim(typed) <> ''").distinct()
     found = lookup(v, "typed", index, codes={"region"}, fuzzy=True).groupBy("typed").agg(F.max_by("entity_id", F.struct("score", (-F.col("entity_id")).alias("m"))).alias("node_id"))
     return v.join(found, "typed", "left").select("typed", F.coalesce("node_id", F.lit(-1).cast("long")).alias("node_id"))
+
+
+@query(
+    r"""SELECT DISTINCT source_product_id, CASE WHEN n < 10 THEN CAST(n * 1000 AS INTEGER) ELSE CAST(trunc(n) AS INTEGER) END AS size_ml, TRY_CAST(nullif(regexp_extract(qoh, '(\d+)', 1), '') AS INTEGER) AS stock, CASE WHEN regexp_matches(lower(qoh), 'unavailable|inquire|sold out') THEN 0 WHEN qoh IS NOT NULL THEN 100 END AS some,
+ coalesce(list_sum(list_transform(string_split(coalesce(qoh, '') || ',> 3,x', ','), lambda x: coalesce(TRY_CAST(regexp_replace(x, '[<> ]', '', 'g') AS INTEGER), 0))), 0)::INTEGER AS summed, concat_ws(' ', regexp_replace(description, '^"(.*)"$', '\1'), 'Foods: ' || nullif(trim(foods), ''), 'Body: ' || nullif(trim(body), '')) AS about
+ FROM (SELECT *, TRY_CAST(regexp_replace(lower(bottle_size), 'ml|l', '', 'g') AS DOUBLE) AS n FROM products)"""
+)
+def site_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of product pages brought to one form: size, stock as a number, by words and as a sum, text with features."""
+    c = F.col
+    p = table(spark, d, "products")
+    cells = F.split(F.concat(F.coalesce("qoh", F.lit("")), F.lit(",> 3,x")), ",")
+    return p.select("source_product_id", X.size_cell(c("bottle_size")).alias("size_ml"), X.first_integer(c("qoh")).alias("stock"), X.stock_by_words(c("qoh")).alias("some"), X.stock_sum(cells).alias("summed"), X.with_features(c("description"), Foods=c("foods"), Body=c("body")).alias("about")).distinct()
+
+
+@query(
+    r"""SELECT DISTINCT source_product_id, coalesce(sku = source_product_id::VARCHAR OR (sku IS NULL AND source_product_id IS NULL), FALSE) AS same, len(CASE WHEN starts_with(trim(varietals), '[') AND json_valid(varietals) THEN CAST(CAST(varietals AS JSON) AS VARCHAR[]) ELSE [varietals] END) AS n_listed,
+ array_to_string(string_split(name, ' ')[2:3], ' ') AS middle FROM products WHERE name IS NOT NULL AND varietals IS NOT NULL"""
+)
+def value_helpers(spark: SparkSession, d: str) -> DataFrame:
+    """Values equal as they are or as text, single values as lists, and a slice of words joined."""
+    c = F.col
+    p = table(spark, d, "products").where("name is not null and varietals is not null")
+    return p.select("source_product_id", X.equal_or_same_text(c("sku"), c("source_product_id").cast("string")).alias("same"), F.size(listed(c("varietals"))).cast("long").alias("n_listed"), X.words_between(F.split("name", " "), F.lit(1), F.lit(3)).alias("middle")).distinct()
+
+
+#: Beginnings and words of questions and what they ask for.
+ASKED = [("i want", "want", True), ("similar to", "similar", False), ("difference", "compare", False), ("compare", "compare", False), ("define", "define", False), ("does", "question-does", True), ("like", "similar", False), ("is", "question-is", True)]
+ASKED_SQL = ", ".join(f"('{t}', '{i}', {str(b).upper()})" for t, i, b in ASKED)
+
+
+@query(f"SELECT doc_id, arg_min(intent, (-length(t), t)) AS intent FROM documents, (VALUES {ASKED_SQL}) x(t, intent, first) WHERE CASE WHEN first THEN starts_with(lower(text), t || ' ') ELSE contains(lower(text), t) END GROUP BY 1")
+def sub_intents(spark: SparkSession, d: str) -> DataFrame:
+    """What a text asks for: of the phrases that it holds (or begins with) the longest counts."""
+    ranked = sorted(ASKED, key=lambda a: (-len(a[0]), a[0]))
+    low, hit = F.lower("text"), F.lit(None).cast("string")
+    for t, intent, first in reversed(ranked):
+        hit = F.when(low.startswith(t + " ") if first else low.contains(t), intent).otherwise(hit)
+    return table(spark, d, "documents").select("doc_id", hit.alias("intent")).where("intent is not null")
+
+
+@query(
+    """WITH v AS (SELECT source_product_id, attribute_id, arg_max(value, sav_id) AS v FROM source_attribute_values WHERE attribute_id IN (2, 4) AND trim(value) <> '' GROUP BY 1, 2), p AS (SELECT source_product_id, max(v) FILTER (attribute_id = 2) AS price, max(v) FILTER (attribute_id = 4) AS qoh FROM v GROUP BY 1),
+ o AS (SELECT source_product_id, max(qoh) AS n FROM products GROUP BY 1) SELECT source_product_id, price, coalesce(n, p.qoh) AS qoh FROM p LEFT JOIN o USING (source_product_id)"""
+)
+def vectors_updated(spark: SparkSession, d: str) -> DataFrame:
+    """Products' vectors of price and stock put together, a new stock written into them, and read back."""
+    keys = ["source_product_id"]
+    v = table(spark, d, "source_attribute_values").where("attribute_id in (2, 4) and trim(value) <> ''").groupBy(*keys, "attribute_id").agg(F.max_by("value", "sav_id").alias("value"))
+    vectors = R.assemble_vectors(v, keys)
+    news = table(spark, d, "products").groupBy(*keys).agg(F.max("qoh").alias("value")).where("value is not null").withColumn("attribute_id", F.lit(4).cast("long"))
+    read = R.vector_values(R.update_vectors(vectors, news, keys), keys)
+    return read.groupBy(*keys).agg(F.max(F.when(F.col("attribute_id") == 2, F.col("value"))).alias("price"), F.max(F.when(F.col("attribute_id") == 4, F.col("value"))).alias("qoh"))

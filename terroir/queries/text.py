@@ -145,7 +145,12 @@ def ratio_pairs(brands: DataFrame, names: DataFrame) -> DataFrame:
     return near.select("brand", "name", X.ratio(F.col("brand"), F.col("name")).alias("ratio")).where("ratio > 80")
 
 
-@query()
+#: Longest common subsequence of b and n by rows of its table: each letter of b makes the next row.
+LCS_SQL = "list_last(list_reduce(list_transform(string_split(b, ''), lambda c: [c]), lambda r, c: list_reduce(list_transform(generate_series(1, length(n)), lambda j: [j::VARCHAR]), lambda o, j: list_append(o, CASE WHEN n[j[1]::BIGINT] = c[1] THEN (coalesce(nullif(r[j[1]::BIGINT], ''), '0')::INT + 1)::VARCHAR ELSE greatest(r[j[1]::BIGINT + 1]::INT, list_last(o)::INT)::VARCHAR END), ['0']), list_transform(generate_series(0, length(n)), lambda j: '0')))::INT"
+PAIRS_SQL = "SELECT DISTINCT lower(trim(p.brand)) AS b, lower(t.name) AS n FROM products p, domain_taxonomy_nodes t WHERE attribute_id = 5 AND parent_id <> 0 AND trim(p.brand) <> '' AND lower(trim(p.brand))[1] = lower(t.name)[1] AND abs(length(trim(p.brand)) - length(t.name)) <= 1 AND levenshtein(lower(trim(p.brand)), lower(t.name)) <= 0.2 * (length(trim(p.brand)) + length(t.name))"
+
+
+@query(f"SELECT b AS brand, n AS name, CAST(round_even(200.0 * lcs / (length(b) + length(n)), 0) AS INTEGER) AS ratio FROM (SELECT *, {LCS_SQL} AS lcs FROM ({PAIRS_SQL})) WHERE round_even(200.0 * lcs / (length(b) + length(n)), 0) > 80")
 def fuzzy_ratio_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Brands against list names that begin with the same letter and are about as long: ratio above 80."""
     b = table(spark, d, "products").select(F.lower(F.trim("brand")).alias("brand")).where("brand <> ''").distinct()
@@ -159,11 +164,29 @@ def fuzzy_levenshtein_topk(spark: SparkSession, d: str) -> DataFrame:
     return w.where("name rlike '^[a-z]+$'").select("name", F.levenshtein(F.lower("name"), F.lit("castelo")).cast("long").alias("distance")).orderBy("distance", "name").limit(10)
 
 
-@query()
+def fuzzy_entries(entries: DataFrame, term: str, held: DataFrame) -> DataFrame:
+    """entries (id, name) that begin like the term and are within one of it in letters and sound
+    together, with distance; only those whose id is in held (value_node_id)."""
+    low = F.lower("name")
+    distance = F.levenshtein(low, F.lit(term)) + F.levenshtein(F.soundex(low), F.soundex(F.lit(term)))
+    near = entries.where(low.startswith(term[:1].lower())).select("id", "name", distance.alias("distance")).where("distance < 2")
+    return near.join(held.select(F.col("value_node_id").alias("__h")).distinct(), F.col("id") == F.col("__h"), "left_semi")
+
+
+#: Sound codes: the first letter, then the digits of the others, neighbours of one digit once.
+SOUND_SQL = "rpad(left(upper(w), 1) || substr(regexp_replace(list_reduce(list_transform(string_split(translate(regexp_replace(lower(w), '(.)[hw]+', '\\1', 'g'), 'bfpvcgjkqsxzdtlmnraeiouy', '111122222222334556000000'), ''), lambda x: x), lambda a, x: CASE WHEN right(a, 1) = x THEN a ELSE a || x END), '0', '', 'g'), CASE WHEN regexp_matches(lower(w[1]), '[aeiouyhw]') THEN 1 ELSE 2 END), 4, '0')[1:4]"
+
+
+@query(
+    f"""SELECT id, name, levenshtein(w, 'finca') + levenshtein(s, 'F520') AS distance FROM (SELECT *, {SOUND_SQL} AS s FROM (SELECT id, lower(string_split(name, ' ')[1]) AS w, string_split(name, ' ')[1] AS name FROM domain_taxonomy_nodes WHERE parent_id <> 0)) WHERE starts_with(w, 'f') AND levenshtein(w, 'finca') + levenshtein(s, 'F520') < 2
+ AND EXISTS (SELECT 1 FROM products p WHERE lower(trim(p.brand)) = (SELECT lower(n.name) FROM domain_taxonomy_nodes n WHERE n.id = x.id)) ORDER BY 3, 1""".replace("domain_taxonomy_nodes WHERE parent_id <> 0)) WHERE", "domain_taxonomy_nodes WHERE parent_id <> 0)) x WHERE")
+)
 def fuzzy_soundex(spark: SparkSession, d: str) -> DataFrame:
-    """Entries within one of 'finca' in letters and sound together."""
-    w = table(spark, d, "domain_taxonomy_nodes").where("parent_id <> 0").select("id", "name", F.lower(F.split("name", " ")[0]).alias("w"))
-    return w.where(F.levenshtein("w", F.lit("finca")) + F.levenshtein(F.soundex("w"), F.soundex(F.lit("finca"))) < 2).select("id", "name")
+    """Entries that some listing names whose first word is within one of 'finca' in letters and sound together."""
+    nodes = table(spark, d, "domain_taxonomy_nodes").where("parent_id <> 0")
+    brands = table(spark, d, "products").select(F.lower(F.trim("brand")).alias("b")).distinct()
+    held = nodes.join(brands, F.lower("name") == F.col("b")).select(F.col("id").alias("value_node_id"))
+    return fuzzy_entries(nodes.select("id", F.split("name", " ")[0].alias("name")), "finca", held).withColumn("distance", F.col("distance").cast("long"))
 
 
 @query(

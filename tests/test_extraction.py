@@ -5,8 +5,9 @@ import json
 import pytest
 
 from terroir.operators.dictionary import build
-from terroir.operators.lookup import Settings, load
-from terroir.queries.extraction import extract_from_sentences, product_attributes
+from terroir.operators import extraction as E
+from terroir.operators.lookup import Settings, attribute_lookup, disambiguated, load
+from terroir.queries.extraction import extract_from_sentences
 from terroir.queries.relational import tfidf_top_terms_all
 
 
@@ -25,11 +26,43 @@ def test_texts_of_all_languages(spark, lists, tmp_path):
     assert {r.doc_id for r in tfidf_top_terms_all(spark, str(tmp_path)).collect()} == {1, 2, 3, 4}
 
 
+RULES = [
+    E.Rule(21, "rating", "float"), E.Rule(13, "short_desc", "text"), E.Rule(30, "barrel_months", "float", (r"(\d+) months in barrels",)), E.Rule(31, "wild_yeast", "boolean", ("wild yeast",)),
+    E.Rule(5, "brand", "text", dictionary=True, sentences=False, names=True), E.Rule(6, "region", "text", dictionary=True), E.Rule(7, "varietals", "text", dictionary=True, names=True),
+]
+
+
 def test_products(spark, lists):
     review = lambda *c: json.dumps([{"reviewer_name": "a", "score_str": "90", "content": x} for x in c])
     about = "Grown in Napa Valley. It saw 12 months in barrels."
-    rows = [(1, "Château Warre 2016", review("Zinfandel at its best. Wild it is. I thought of wild yeast."), about), (2, "Zinfandel", review('""'), about), (3, None, "no json", None), (1, "Château Warre 2016", review("Zinfandel at its best. Wild it is. I thought of wild yeast."), about)]
-    got = product_attributes(spark.createDataFrame(rows, "source_product_id bigint, name string, reviews string, description string"), load(build(*lists), Settings(low_idf=0.5))).collect()
-    place, oak = [(k, o, "region", "Napa Valley", None, None, 1) for k, o in ((1, "description"), (2, "description"), (2, "review"))], [(k, o, "barrel_months", None, 12.0, None, 1) for k, o in ((1, "description"), (2, "description"), (2, "review"))]
-    want = [*place, *oak, (1, "name", "brand", "Château Warre", None, None, 1), (1, "review", "varietals", "Zinfandel", None, None, 1), (1, "review", "wild_yeast", None, None, True, 1), (2, "name", "varietals", "Zinfandel", None, None, 1)]
-    assert sorted([(r.source_product_id, r.origin, r.code, r.value, r.value_float, r.value_boolean, r.n) for r in got], key=str) == sorted(want, key=str)
+    rows = [(1, "Château Warre 2016", review("Zinfandel at its best. Wild it is. I thought of wild yeast."), about), (2, "Zinfandel", review('""'), about), (3, None, "no json", None), (4, "", None, " "), (1, "Château Warre 2016", review("Zinfandel at its best. Wild it is. I thought of wild yeast."), about)]
+    df = spark.createDataFrame([(*r, 9, "x") for r in rows], "source_product_id bigint, name string, reviews string, description string, score int, read string").select("source_product_id", "name", "reviews", "description")
+    index = load(build(*lists), Settings(low_idf=0.5))
+    reviewers = spark.createDataFrame([("a", 0.5)], "name string, modifier double")
+    got = E.extract(df, RULES, index=index, stop=["of"], reviewers=reviewers).collect()
+    place = [(k, o, "region", 3, None, None, None) for k, o in ((1, "description"), (2, "description"), (2, "review"))]
+    oak = [(k, o, "barrel_months", None, 12.0, None, None) for k, o in ((1, "description"), (2, "description"), (2, "review"))]
+    own = [(1, "name", "brand", 2, None, None, None), (1, "review", "varietals", 4, None, None, None), (1, "review", "wild_yeast", None, None, True, None), (2, "name", "varietals", 4, None, None, None)]
+    whole = [(k, "product", "rating", None, 90.5, None, None) for k in (1, 2)] + [(1, "product", "short_desc", None, None, None, "Zinfandel at its best. Wild it is. I thought of wild yeast."), (2, "product", "short_desc", None, None, None, "Grown in Napa Valley. It saw 12 months in barrels.")]
+    assert sorted([(r.source_product_id, r.origin, r.code, r.value_node_id, r.value_float, r.value_boolean, r.value_text) for r in got], key=str) == sorted(place + oak + own + whole, key=str)
+    assert E.extract(df.limit(0), RULES, index=index).count() == 0
+
+
+def test_rules_are_checked():
+    with pytest.raises(ValueError, match="short_desc"):
+        E.plan([E.Rule(21, "rating", "float")])
+    with pytest.raises(ValueError, match="text"):
+        E.Rule(1, "x", "text", ("a",))
+
+
+def test_lookup_with_codes_and_words_left_over(spark, lists):
+    index = load(build(*lists), Settings(low_idf=0.5))
+    df = spark.createDataFrame([("the Zinfandel of Napa Valley",), ("Château Warre Zinfandel",), (None,), ("",), ("nothing",)], "value string")
+    got = {r.value: ([(a.code, a.original, a.start) for a in r.attributes], list(r.extra_words)) for r in attribute_lookup(df, "value", index, codes=["region"]).collect()}
+    assert got == {"the Zinfandel of Napa Valley": ([("region", "napa valley", 3)], ["the", "zinfandel", "of"]), "Château Warre Zinfandel": ([("varietals", "zinfandel", 2)], ["château", "warre"]), "nothing": ([], ["nothing"])}
+    with_brand = attribute_lookup(df, "value", index, brand=True).where("value like 'Ch%'").first()
+    assert [a.code for a in with_brand.attributes] == ["brand", "varietals"] and with_brand.extra_words == []
+    names = spark.createDataFrame([("region", "place", 1), ("foods", "dish", 2)], "code string, name string, ord int")
+    predicates = spark.createDataFrame([("foods", "goes? with", 1), ("region", "from", 2)], "code string, pattern string, ord int")
+    said = spark.createDataFrame([("a dish from here",), ("it goes with fish from Rome",), ("wine from Rome",), ("wine",), (None,)], "t string")
+    assert [r.code for r in disambiguated(said, "t", names, predicates).collect()] == ["foods", "foods", "region", None, None]
