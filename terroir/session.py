@@ -44,13 +44,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 class Shared:
-    """An object on all executors, pickled by value: they need no install of its class's module."""
+    """An object on all executors, pickled by value: they need no install of its class's module.
 
-    def __init__(self, spark: SparkSession, thing: object) -> None:
+    keep: whether the driver holds on to it. drop() frees a worker's copy until it is asked for again.
+    """
+
+    def __init__(self, spark: SparkSession, thing: object, keep: bool = True) -> None:
         from pyspark import cloudpickle
 
         self._data = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
-        self._thing = thing
+        self._thing = thing if keep else None
+
+    def drop(self) -> None:
+        self._thing = None
 
     def __getstate__(self) -> dict:
         return {"_data": self._data, "_thing": None}
