@@ -5,14 +5,14 @@ turn edit distance into Hamming distance; repeated sampling of embedding positio
 windows that share a key are verified exactly. The number of walks is chosen so that altered item
 windows are found with the target recall; unaltered ones are always found.
 
-The items are a stated query set: they are sent to the executors in blocks of bounded size, one
-pass over the documents each, so the method doesn't depend on how many items there are.
+The items are a stated query set: they are sent to the executors in blocks of bounded size, and
+each batch of documents is read and split into words once and looked up in one block after the
+other, so the method doesn't depend on how many items there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,12 @@ WINDOW, ALTERED = 12, 1
 STEPS, SAMPLED, SAMPLES = 24, 4, 2
 #: Windows of one block of items (about 30 MB of keys at 32 walks): the bound of what is broadcast.
 BLOCK_WINDOWS = 40_000
-MAX_WALKS = 32
+#: Walks that may be made; a recall that they don't reach is an error.
+MAX_WALKS = 64
+#: Altered windows of each kind on which the recall is measured.
+TRIALS = 6_000
+#: Blocks that a worker keeps in memory; of more, one at a time.
+KEPT_BLOCKS = 4
 
 
 class Walks:
@@ -78,21 +83,26 @@ class ItemBlock:
                 self.tables.append((k[order], order.astype(np.int32)))
 
     def _enough(self, recall: float, seed: int) -> int:
-        """Walks until that share of windows with one altered word, at any place, is found."""
+        """Walks until that share of windows with one altered word, at any place, is found: both where
+        the new word is unknown and where it is a word of the items."""
         if not len(self.windows):
             return 1
         rng = np.random.default_rng(seed)
-        pick = self.windows[rng.integers(0, len(self.windows), 3000)]
+        n = TRIALS
+        pick = self.windows[rng.integers(0, len(self.windows), n)]
         whole = self.flat[pick[:, None] + np.arange(WINDOW)]
-        altered = whole.copy()
-        altered[np.arange(len(pick)), np.arange(len(pick)) % WINDOW] = len(self.vocabulary)
-        at, found = np.arange(len(pick)) * WINDOW, np.zeros(len(pick), dtype=bool)
-        trial = Walks(len(self.vocabulary), MAX_WALKS, seed)
+        altered = np.concatenate([whole, whole])
+        where = np.arange(2 * n), np.arange(2 * n) % WINDOW
+        other = rng.integers(0, max(len(self.vocabulary), 1), n)
+        other = np.where(other == whole[np.arange(n), where[1][n:]], len(self.vocabulary), other)
+        altered[where] = np.concatenate([np.full(n, len(self.vocabulary)), other])
+        at, found = np.arange(2 * n) * WINDOW, np.zeros(2 * n, dtype=bool)
+        trial, both = Walks(len(self.vocabulary), MAX_WALKS, seed), np.concatenate([whole, whole])
         for r in range(MAX_WALKS):
-            found |= (trial.keys(whole.ravel(), at, r) == trial.keys(altered.ravel(), at, r)).any(axis=0)
-            if found.mean() >= recall:
+            found |= (trial.keys(both.ravel(), at, r) == trial.keys(altered.ravel(), at, r)).any(axis=0)
+            if min(found[:n].mean(), found[n:].mean()) >= recall:
                 return r + 1
-        return MAX_WALKS
+        raise ValueError(f"{MAX_WALKS} walks don't reach a recall of {recall}")
 
     def matches(self, flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window, item) indices of exactly verified matches among windows flat[s:s+WINDOW]."""
@@ -131,16 +141,15 @@ def _slices(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def _find(texts: list[str | None], block: ItemBlock) -> list[set[int]]:
-    """For each text the block's items that it holds."""
+def _find(split: list[list[str]], block: ItemBlock) -> list[set[int]]:
+    """For each text (its words) the block's items that it holds."""
     known, unknown = block.vocabulary.get, len(block.vocabulary)
-    split = [[known(w, unknown) for w in words(t)] for t in texts]
-    found: list[set[int]] = [set() for _ in texts]
-    flat = np.array([i for ws in split for i in ws], dtype=np.int32)
+    found: list[set[int]] = [set() for _ in split]
+    flat = np.fromiter((known(w, unknown) for ws in split for w in ws), dtype=np.int32)
     if len(flat) < WINDOW or not block.tables:
         return found
     size = np.array([len(ws) for ws in split])
-    text_of = np.repeat(np.arange(len(texts)), size)
+    text_of = np.repeat(np.arange(len(split)), size)
     inside = np.concatenate([[0], np.cumsum(flat < unknown)])
     start = np.arange(len(flat) - WINDOW + 1)
     # a window with one altered word still has eleven words of the items
@@ -180,23 +189,25 @@ def leaked(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", it
     """
     spark = documents.sparkSession
     id_type, item_type = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    parts = []
-    for block in item_blocks(items, item_id, text):
-        shared = Shared(spark, ItemBlock(block, recall, seed))
+    blocks = [Shared(spark, ItemBlock(block, recall, seed), keep=False) for block in item_blocks(items, item_id, text)]
+    if not blocks:
+        return spark.createDataFrame([], f"`{doc_id}` {id_type}, `{item_id}` {item_type}")
 
-        def find(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for pdf in it:
+    def find(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            split = [words(t) if isinstance(t, str) else [] for t in pdf["t"]]
+            at, ids = [], []
+            for shared in blocks:
                 block = shared.value
-                found = _find([t if isinstance(t, str) else None for t in pdf["t"]], block)
-                pairs = [(k, i) for k, items in enumerate(found) for i in sorted(items)]
-                ids = pdf["d"].iloc[[k for k, _ in pairs]].reset_index(drop=True)
-                yield pd.DataFrame({doc_id: ids, item_id: pd.Series([block.ids[i] for _, i in pairs], dtype=object)})
-
-        rows = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where(F.length("t") > 0)
-        parts.append(rows.mapInPandas(find, f"`{doc_id}` {id_type}, `{item_id}` {item_type}"))
-    if not parts:
-        return spark.createDataFrame([], f"`{doc_id}` {id_type}, `{item_id}` {item_type}")
-    return reduce(DataFrame.unionByName, parts).distinct()
+                found = _find(split, block)
+                at += [k for k, own in enumerate(found) for _ in own]
+                ids += [block.ids[i] for own in found for i in sorted(own)]
+                if len(blocks) > KEPT_BLOCKS:
+                    shared.drop()
+            yield pd.DataFrame({doc_id: pdf["d"].iloc[at].reset_index(drop=True), item_id: pd.Series(ids, dtype=object)})
+
+    rows = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where(F.length("t") > 0)
+    return rows.mapInPandas(find, f"`{doc_id}` {id_type}, `{item_id}` {item_type}").distinct()
 
 
 def leaked_items(pairs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:

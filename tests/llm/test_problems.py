@@ -207,19 +207,26 @@ def test_leaks_in_blocks_equal_leaks_at_once(spark, monkeypatch):
     d, x = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(*i, 0) for i in items], ITEMS)
     whole = set(map(tuple, leaked(d, x).collect()))
     monkeypatch.setattr("terroir.llm.leakage.BLOCK_WINDOWS", 20)
+    monkeypatch.setattr("terroir.llm.leakage.KEPT_BLOCKS", 1)
     assert set(map(tuple, leaked(d, x).collect())) == whole == {(i, i) for i in range(6)}
 
 
 def test_altered_windows_are_found_with_the_target_recall():
     r = random.Random(3)
     block = ItemBlock([(i, r.choices(VOCABULARY, k=60)) for i in range(50)], 0.999, 5)
-    found = 0
-    for k in range(600):
-        w = r.choice(block.windows)
+    found = {True: 0, False: 0}
+    for k in range(1200):
+        w, known = r.choice(block.windows), k % 2 == 0
         flat = block.flat[w : w + 12].copy()
-        flat[k % 12] = len(block.vocabulary)
-        found += any(len(m) for m, _ in block.matches(flat, np.zeros(1, dtype=np.int64)))
-    assert found >= 594
+        flat[k // 2 % 12] = (flat[k // 2 % 12] + r.randrange(1, len(block.vocabulary))) % len(block.vocabulary) if known else len(block.vocabulary)
+        found[known] += any(len(m) for m, _ in block.matches(flat, np.zeros(1, dtype=np.int64)))
+    assert min(found.values()) >= 595
+
+
+def test_a_recall_out_of_reach_is_an_error(monkeypatch):
+    monkeypatch.setattr("terroir.llm.leakage.MAX_WALKS", 1)
+    with pytest.raises(ValueError, match="recall"):
+        ItemBlock([(i, random.Random(i).choices(VOCABULARY, k=60)) for i in range(50)], 0.999, 5)
 
 
 def test_marks():
