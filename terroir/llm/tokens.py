@@ -3,8 +3,9 @@
 A text is cut into overlapping chunks. The chunks are pre-tokenised in parallel; where the
 pre-token boundaries of two neighbours coincide inside their overlap, the chunks are stitched, and
 the pieces between the stitches are encoded in parallel. Neighbours whose boundaries never
-coincide (an unbroken run longer than the overlap) are encoded as one piece. A text of at most one
-chunk is one piece and never leaves its partition.
+coincide (an unbroken run longer than the overlap) are encoded as one piece: such a run is one
+pre-token, which can't be encoded in parts, so a piece is as long as the longest pre-token at most.
+A text of at most one chunk is one piece and never leaves its partition.
 
 null and empty texts have the empty list; blank texts are encoded as they are. Special tokens are
 ordinary text. Decoding joins the tokens' raw bytes.
@@ -25,14 +26,21 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A scan's tokens that end this close to the end of its chunk may depend on what follows.
 MARGIN = 4
+#: Characters of a chunk and of its overlap with the next; chunks of one text that are cut at once.
+CHUNK, OVERLAP, CUT_AT_ONCE = 1_024, 128, 4_096
 
 
 class Vocabulary:
     """The rank file, broadcast once; each Python worker builds its encoder once."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        with open(path, "rb") as f:  # under 1 MB for every public vocabulary
-            self.data = spark.sparkContext.broadcast(f.read())
+        # any file system; under 2 MB for every public vocabulary
+        local = "://" not in path
+        rows = [] if local else spark.read.format("binaryFile").load(path).select("content").take(1)
+        if local:
+            with open(path, "rb") as f:
+                rows = [(f.read(),)]
+        self.data = spark.sparkContext.broadcast(bytes(rows[0][0]))
         self._encoder = None
 
     def __getstate__(self) -> dict:
@@ -51,7 +59,10 @@ class Vocabulary:
             return []
         try:
             return self.encoder().encode_ordinary(text)
-        except Exception:  # the fast scanner gives up on some very long runs
+        except BaseException as e:
+            # the fast scanner's stack overflows on very long runs of white space
+            if type(e).__name__ != "PanicException":
+                raise
             return self.encode_slowly(text)
 
     def encode_slowly(self, text: str) -> list[int]:
@@ -69,25 +80,35 @@ class Vocabulary:
 def scan_boundaries(text: str, base: int, low: int, high: int) -> list[int]:
     """Token ends p of a scan of text (which begins at base), low <= p <= high, fit for a stitch.
 
-    Only ends after a letter or digit and before white space: such an end bounds a pre-token in
+    Only ends after a letter or digit and before something else: such an end bounds a pre-token in
     every scan, and encoding up to it gives the same tokens as encoding the whole.
     """
     import regex
 
     out = []
     for m in regex.finditer(PATTERN, text):
-        p = base + m.end()
-        if p > high:
+        e = m.end()
+        if base + e > high:
             break
-        if p >= low and m.end() < len(text) and text[m.end() - 1].isalnum() and text[m.end()].isspace():
-            out.append(p)
+        if base + e >= low and e < len(text) and text[e - 1].isalnum() and not text[e].isalnum():
+            out.append(base + e)
     return out
 
 
 def _encode_long(df: DataFrame, vocabulary: Vocabulary, chunk: int, overlap: int, keep: list[str]) -> DataFrame:
-    n = F.floor((F.length("__text") - 1) / chunk).cast("int")
-    cores = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("i"), F.substring(F.col("__text"), i * chunk + 1, F.lit(chunk + overlap)).alias("t")))
-    rows = df.withColumn("__uid", F.monotonically_increasing_id()).select(*keep, "__uid", F.inline(cores))
+    numbered = df.withColumn("__uid", F.monotonically_increasing_id()).select(*keep, "__uid", "__text")
+    own = [f for f in numbered.schema.fields if f.name != "__text"]
+
+    def cut_up(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rest = pdf.drop(columns="__text")
+            for k, t in enumerate(pdf["__text"]):
+                for a in range(0, len(t), chunk * CUT_AT_ONCE):
+                    starts = range(a, min(a + chunk * CUT_AT_ONCE, len(t)), chunk)
+                    part = rest.iloc[[k] * len(starts)].reset_index(drop=True)
+                    yield part.assign(i=[s // chunk for s in starts], t=[t[s : s + chunk + overlap] for s in starts])
+
+    rows = numbered.mapInPandas(cut_up, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", i int, t string")
     # spread the chunks of one text over all tasks
     rows = rows.repartition("__uid", "i")
 
@@ -124,7 +145,7 @@ def _encode_long(df: DataFrame, vocabulary: Vocabulary, chunk: int, overlap: int
     return joined.select(*keep, F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
 
 
-def encode_corpus(df: DataFrame, *, text: str = "text", keep: list[str], vocabulary_path: str = DEFAULT_VOCABULARY, chunk: int = 65_536, overlap: int = 2_048) -> DataFrame:
+def encode_corpus(df: DataFrame, *, text: str = "text", keep: list[str], vocabulary_path: str = DEFAULT_VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """keep columns and ids (array of int) of every row, repeated rows included."""
     if not 0 < overlap * 2 <= chunk:
         raise ValueError("the overlap must be at most half a chunk")

@@ -14,7 +14,7 @@ def texts():
     return [None, "", "   ", "hello", "hello", *long, "y" * 700, " " * 600 + "z", "word " * 200]
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(50, 25), (120, 40), (65_536, 2_048)])
+@pytest.mark.parametrize(("chunk", "overlap"), [(50, 25), (120, 40), (1_024, 128), (65_536, 2_048)])
 def test_stitched_encoding_equals_whole_encoding(spark, chunk, overlap):
     rows = list(enumerate(texts())) + [(None, "null key")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, ids string")
@@ -34,3 +34,19 @@ def test_empty_table_and_repeated_rows(spark):
     rows = [(1, "word " * 60)] * 3
     out = encode_corpus(spark.createDataFrame(rows, schema), keep=["doc_id"], chunk=60, overlap=30).collect()
     assert len(out) == 3 and len({tuple(r.ids) for r in out}) == 1
+
+
+def test_runs_that_the_fast_scanner_gives_up_on(spark):
+    vocabulary = Vocabulary(spark, "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    text = "a" + " " * 1_000_000 + "b"
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    for chunk in (1_024, 4_000_000):
+        ids = encode_corpus(df, keep=["doc_id"], chunk=chunk, overlap=128).first().ids
+        assert vocabulary.decode(list(ids)) == text and list(ids) == vocabulary.encode(text)
+
+
+def test_chunks_are_encoded_in_pieces(spark):
+    text = "".join(f"word{i}, and 'tis {i}. " for i in range(3000))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    vocabulary = Vocabulary(spark, "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    assert list(encode_corpus(df, keep=["doc_id"]).first().ids) == vocabulary.encode(text)
