@@ -25,8 +25,9 @@ from terroir.llm.canonical import NONE, map_values
 from terroir.llm.words import visible, words
 from terroir.session import cut, small
 
-#: A text is boilerplate if it stands in at least so many groups and this share of all groups.
-BOILERPLATE_GROUPS, BOILERPLATE_SHARE = 3, 0.002
+#: A text is boilerplate if it stands in at least so many groups and this share of all groups, or in
+#: so many groups of one shop and this share of the shop's groups, however large the table is.
+BOILERPLATE_GROUPS, BOILERPLATE_SHARE, SHOP_SHARE = 3, 0.002, 0.01
 #: Words of texts that stand for a missing one.
 PLACEHOLDER = re.compile(r"^(?:tbd|tba|n a|na|null|none|nil|nan|test(?: test)*|unknown|undefined|lorem ipsum.*|(?:no|without) (?:description|notes?).*|(?:tasting )?(?:description|notes?) (?:coming soon|to follow|follow)|coming soon|see (?:winery|producer|our) (?:website|site).*|see label|description)$")
 PICTURE_WORDS = r"(?i)default|placeholder|no[-_ ]?image|noimage|coming[-_ ]?soon|undefined|^null|^none|^n/?a\b|(?:^|[^0-9])1x1|spacer|blank\.|missing|dummy"
@@ -36,7 +37,7 @@ FIELDS = ("description", "image", "msrp", "region")
 def _texts(records: DataFrame, sources: DataFrame) -> DataFrame:
     """record_id, visible length, hash of the masked words, and whether it only repeats the name."""
     shops = sources.select(F.col("source_id").alias("__s"), F.concat_ws(" ", "source_code", F.split("source_name", " ")[0]).alias("shop")).dropDuplicates(["__s"])
-    rows = records.join(small(shops), F.col("source_id") == F.col("__s"), "left").select("record_id", "master_product_id", "description", "name", "brand", "shop").where(F.length(F.trim("description")) > 0)
+    rows = records.join(small(shops), F.col("source_id") == F.col("__s"), "left").select("record_id", "master_product_id", F.coalesce("source_id", F.lit(-1).cast("long")).alias("source_id"), "description", "name", "brand", "shop").where(F.length(F.trim("description")) > 0)
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -50,18 +51,21 @@ def _texts(records: DataFrame, sources: DataFrame) -> DataFrame:
                 own = set(words(f"{r.name if isinstance(r.name, str) else ''} {r.brand if isinstance(r.brand, str) else ''}"))
                 repeats = len(set(ws) - own) <= 1 and len(ws) <= len(own) + 2
                 empty = not ws or bool(PLACEHOLDER.match(" ".join(ws)))
-                out.append((r.record_id, r.master_product_id, len(text), masked, repeats or empty))
-            yield pd.DataFrame(out, columns=["record_id", "master_product_id", "visible", "masked", "worthless"])
+                out.append((r.record_id, r.master_product_id, r.source_id, len(text), masked, repeats or empty))
+            yield pd.DataFrame(out, columns=["record_id", "master_product_id", "source_id", "visible", "masked", "worthless"])
 
-    return rows.mapInPandas(read, "record_id bigint, master_product_id bigint, visible int, masked string, worthless boolean").withColumn("text", F.md5("masked")).drop("masked")
+    return rows.mapInPandas(read, "record_id bigint, master_product_id bigint, source_id bigint, visible int, masked string, worthless boolean").withColumn("text", F.md5("masked")).drop("masked")
 
 
 def usable_texts(records: DataFrame, sources: DataFrame) -> DataFrame:
     """record_id, visible: the descriptions that tell something of their product."""
     texts = cut(_texts(records, sources))
     groups = records.select("master_product_id").distinct().count()
-    spread = texts.groupBy("text", "master_product_id").agg(F.lit(1).alias("one")).groupBy("text").agg(F.count("one").alias("groups"))
-    common = spread.where(F.col("groups") >= max(BOILERPLATE_GROUPS, groups * BOILERPLATE_SHARE)).select("text")
+    shops = records.groupBy("source_id").agg(F.countDistinct("master_product_id").alias("all"))
+    placed = texts.groupBy("text", "source_id", "master_product_id").agg(F.lit(1).alias("one"))
+    anywhere = placed.groupBy("text", "master_product_id").agg(F.lit(1).alias("one")).groupBy("text").agg(F.count("one").alias("groups")).where(F.col("groups") >= max(BOILERPLATE_GROUPS, groups * BOILERPLATE_SHARE))
+    at_shop = placed.groupBy("text", "source_id").agg(F.count("one").alias("groups")).where(F.col("groups") >= BOILERPLATE_GROUPS).join(small(shops), "source_id").where(F.col("groups") >= F.col("all") * SHOP_SHARE)
+    common = cut(anywhere.select("text").unionByName(at_shop.select("text")).distinct())
     return texts.where("not worthless").join(small(common), "text", "left_anti").select("record_id", "visible")
 
 
@@ -79,35 +83,40 @@ def usable_amount(msrp: Column, price: Column) -> Column:
     return F.when((amount > 0) & ~F.coalesce(nines, F.lit(False)) & ~far, amount)
 
 
-def true_places(claims: DataFrame, rounds: int = 8, tolerance: float = 1e-3) -> DataFrame:
+def true_places(claims: DataFrame, rounds: int = 30, tolerance: float = 1e-3) -> DataFrame:
     """group, node of the claimed places that aren't outvoted.
 
     claims: group, source, node, path (ids from the root to the node). A claim votes, by its
     source's reliability, for its node and all nodes above; at each depth the place with the most
     votes wins (ties: the smallest id), and a claim is true if all of its path won. A source's
-    reliability is the smoothed share of its claims that are true.
+    reliability is the smoothed share of its claims that are true. Rounds end when no reliability
+    changes by more than the tolerance; where they swing to and fro, each is the mean of two rounds.
     """
     claims = cut(claims.groupBy("group", "source", "node").agg(F.first("path").alias("path")))
     reliability = claims.select("source").distinct().withColumn("r", F.lit(0.8))
-    for _ in range(rounds):
+    for k in range(rounds):
         votes = claims.join(small(reliability), "source").select("group", "r", F.posexplode("path").alias("depth", "place")).groupBy("group", "depth", "place").agg(F.sum("r").alias("v"))
         won = votes.groupBy("group", "depth").agg(F.max(F.struct("v", (-F.col("place")).alias("m"))).alias("w")).groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("depth", (-F.col("w.m")).alias("place")))).alias("won"))
         judged = claims.join(won, "group").withColumn("is_true", F.forall(F.transform("path", lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: F.col("won")[x["i"]] == x["p"]))
-        new = cut(judged.groupBy("source").agg(((F.count_if("is_true") + 4) / (F.count(F.lit(1)) + 5)).alias("r")))
-        change = new.join(reliability.withColumnRenamed("r", "old"), "source").agg(F.max(F.abs(F.col("r") - F.col("old")))).first()[0]
-        reliability = new
+        new = judged.groupBy("source").agg(((F.count_if("is_true") + 4) / (F.count(F.lit(1)) + 5)).alias("r")).join(small(reliability.withColumnRenamed("r", "old")), "source")
+        new = cut(new.select("source", (F.col("r") if k < 8 else (F.col("r") + F.col("old")) / 2).alias("r"), F.abs(F.col("r") - F.col("old")).alias("change")))
+        change = new.agg(F.max("change")).first()[0]
+        reliability = new.select("source", "r")
         if change is None or change < tolerance:
             break
+    else:
+        raise ValueError(f"the sources' reliability doesn't settle in {rounds} rounds")
     return judged.where("is_true").select("group", "node").distinct()
 
 
 def usable_regions(records: DataFrame, nodes: DataFrame) -> DataFrame:
     """record_id, depth: the records whose region is a place of the list and isn't outvoted."""
     stated = records.select("record_id", F.col("master_product_id").alias("group"), F.col("source_id").alias("source"), F.col("region").alias("value")).where(F.length(F.trim("value")) > 0)
-    meant = map_values(stated, nodes, "region").where(F.col("node_id") != NONE)
+    meant = cut(map_values(stated, nodes, "region").where(F.col("node_id") != NONE))
     path = nodes.select(F.col("id").alias("node"), F.array_append(F.from_json("ancestor_node_path", "array<bigint>"), F.col("id")).alias("path"))
     path = path.select("node", F.coalesce(F.array_distinct("path"), F.array("node")).alias("path")).dropDuplicates(["node"])
-    claims = cut(stated.join(meant, "value").withColumnRenamed("node_id", "node").join(small(path), "node").withColumn("source", F.coalesce("source", F.lit(-1).cast("long"))))
+    # few values are most rows: the distinct ones are small, or AQE splits what is hot
+    claims = cut(stated.join(small(meant), "value").withColumnRenamed("node_id", "node").join(small(path), "node").withColumn("source", F.coalesce("source", F.lit(-1).cast("long"))))
     true = true_places(claims.select("group", "source", "node", "path"))
     return claims.join(true, ["group", "node"], "left_semi").select("record_id", F.size("path").alias("depth"))
 

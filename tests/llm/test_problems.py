@@ -163,6 +163,26 @@ def test_outvoted_places_are_not_true(spark):
     assert sorted(map(tuple, true_places(df).collect())) == [(1, 61), (1, 62), (2, 60)]
 
 
+def test_an_outvoted_region_does_not_survive(spark, nodes):
+    sources = spark.createDataFrame([(k, f"s{k}", f"Shop {k}", k, "") for k in (1, 2, 3)], SOURCES)
+    d = lambda n: T0 + timedelta(days=n)
+    rec = [(10 * m + s, m, s, "n", None, None, None, r, None, None, d(s)) for m in range(1, 6) for s, r in ((1, "Varardo"), (2, "Costa Relford"), (3, "Mulange"))]
+    # the third shop's place is stated last and the first one's is deeper in group 9, but two against one
+    rec += [(91, 9, 3, "n", None, None, None, "North Stuwiltal", None, None, d(9)), (92, 9, 1, "n", None, None, None, "Mulange", None, None, d(1)), (93, 9, 2, "n", None, None, None, "Mulange", None, None, d(2))]
+    df = spark.createDataFrame([(*r, 1, 1, 1) for r in rec], RECORDS)
+    got = {r.master_product_id: r.record_id for r in survivors(df, sources, nodes).where("field_name = 'region'").collect()}
+    assert got == {**{m: 10 * m + 2 for m in range(1, 6)}, 9: 93}
+
+
+def test_boilerplate_of_one_shop(spark, nodes):
+    sources = spark.createDataFrame([(1, "a", "Alpha", 1, ""), (2, "b", "Beta", 2, "")], SOURCES)
+    shop = "Every order above fifty leaves our cellar on the next working day."
+    rec = [(k, k // 2, 1 if k < 40 else 2, "n", None, None, None, None, None, shop if k < 6 else f"A wine of its own, number {k}.", T0) for k in range(4000)]
+    df = spark.createDataFrame([(*r, 1, 1, 1) for r in rec], RECORDS)
+    got = {r.record_id for r in survivors(df, sources, nodes).where("field_name = 'description'").collect()}
+    assert not got & set(range(6)) and len(got) == 1997  # 3 of 2,000 groups, but 3 of the shop's 20
+
+
 VOCABULARY = [f"w{i}" for i in range(300)]
 
 
