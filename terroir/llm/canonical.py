@@ -2,9 +2,10 @@
 
 Values are deduplicated and normalised; candidates come from an inverted index of character
 trigrams over the list's names and aliases, scored by idf-weighted cosine. A candidate above the
-threshold is then checked word by word (typing errors, abbreviations, left-out or foreign common
-words), and the best one is accepted if it leads the next by the margin; else the value is reported
-as unmatched (-1).
+threshold is then set against the value word by word (a word that contradicts it rules it out), which
+gives its exact weighted cosine: words that are short forms or errors count as the entry's words. The
+best entry is accepted above a threshold and if it leads the next by the margin; else the value is
+reported as unmatched (-1).
 
 The list is sent to the executors in blocks of bounded size; the blocks' best candidates are
 merged by value, so the result doesn't depend on the number of blocks.
@@ -26,9 +27,14 @@ from terroir.llm.words import fold, visible, words
 from terroir.session import Shared, spread
 
 NONE = -1
-THRESHOLD, MARGIN = 0.15, 0.03
+#: Least cosine of a candidate; least cosine of an accepted entry, and its least lead over the next.
+THRESHOLD, ACCEPTED, MARGIN = 0.15, 0.6, 0.03
+#: What a word counts as if its letters are moved or glued, it is a short form, or has one error.
+MOVED, SHORTENED, ERROR = 0.99, 0.97, 0.9
 #: Entries of one block: the bound of what is broadcast at once (some tens of MB).
 BLOCK_ENTRIES = 50_000
+#: Blocks that a worker keeps in memory; of more, one at a time.
+KEPT_BLOCKS = 4
 #: A word of at least so many entries is a common one (a kind of house, a direction, a colour).
 COMMON = 4
 #: Words that join names and mean nothing here, and words that may be added.
@@ -102,6 +108,7 @@ class Reference:
         self.unseen = float(np.log(1 + n) + 1)
         index: dict[str, list[tuple[int, float]]] = {}
         self.norm = np.ones(len(entries))
+        self.known: dict[str, float] = {}
         for k, ws in enumerate(self.words):
             weights = self.weights(ws)
             self.norm[k] = max(sum(x * x for x in weights.values()) ** 0.5, 1e-9)
@@ -126,34 +133,43 @@ class Reference:
         return [(int(k), float(score[k])) for k in near]
 
     def agrees(self, value: list[str], entry: list[str]) -> float | None:
-        """Cost of reading value as entry (0 is equal), or None if it can't mean it."""
+        """Weighted cosine of value and entry once their words are set against each other (1 is equal),
+        or None if a word contradicts the entry.
+
+        A word that is a short form or an error of the entry's counts as that word, a little less;
+        common words of the entry that the value leaves out count as what isn't in common.
+        """
         if value == entry:
-            return 0.0
+            return 1.0
         a, b = "".join(value), "".join(entry)
         if len(value) == 1 and any(w in a for w in JOINING):  # a joining word glued in between
             a = next((a[:i] + a[i + len(w) :] for w in JOINING for i in range(len(a)) if a[i : i + len(w)] == w and a[:i] + a[i + len(w) :] == b), a)
         if a == b or sorted(value) == sorted(entry):
-            return 0.1
+            return MOVED
         most = 1 if len(b) >= 5 else 0
-        d = edit_distance(a, b, most)
-        if d <= most:
-            return 1.0 + 0.1 * d
+        if edit_distance(a, b, most) <= most:
+            return ERROR
         core_b = [w for w in entry if w not in self.common]
         rest_b = [w for w in entry if w in self.common]
-        core_a, cost, left = [], 1.2, list(rest_b)
+        core_a, left = [], list(rest_b)
+        told = fit = 0.0  # weight of the entry's words that the value tells, and how well it does
         for w in value:
             if w in left:
                 left.remove(w)
+                told += self.weight(w)
+                fit += self.weight(w)
             elif w in self.common and w not in core_b:
                 if w in ADDED or w in ("winery",) and value[0] == w:
                     continue
                 return None  # another house's or place's common word
             elif (m := next((x for x in left if abbreviates(w, x)), None)) and (len(w) <= 5):
                 left.remove(m)
-                cost += 0.1
+                told += self.weight(m)
+                fit += SHORTENED * self.weight(m)
             elif (m := next((x for x in left if len(x) >= 5 and edit_distance(w, x, 1) == 1), None)) and len(w) >= 4:
                 left.remove(m)
-                cost += 0.5
+                told += self.weight(m)
+                fit += ERROR * self.weight(m)
             elif w in ADDED and w not in core_b:
                 continue
             elif len(w) <= 5 and len(value) > 1 and w not in core_b and any(abbreviates(w, x) and len(x) - len(w) >= 2 for x in self.by_letter.get(w[0], ())) and not any(abbreviates(w, x) for x in core_b) and len(w) <= 4 and self._short_common(w):
@@ -163,35 +179,44 @@ class Reference:
         a, b = "".join(core_a), "".join(core_b)
         if not b or not a:
             return None
+        quality = 1.0
         if a != b:
             most = 1 if len(b) >= 5 else 0
-            d = edit_distance(a, b, most)
-            if d > most:
-                # a left-out space may have glued a common word to the name
-                for w in rest_b:
-                    if w in left and (a == w + b or a == b + w):
-                        return cost + 0.1
+            if edit_distance(a, b, most) <= most:
+                quality = ERROR
+            elif glued := next((w for w in rest_b if w in left and (a == w + b or a == b + w)), None):
+                # a left-out space has glued a common word to the name
+                told += self.weight(glued)
+                fit += self.weight(glued)
+                quality = MOVED
+            else:
                 return None
-            cost += d
-        return cost + 0.2 * len(left)
+        core = sum(self.weight(w) for w in core_b)
+        told, fit = told + core, fit + quality * core
+        return fit / max((told * sum(self.weight(w) for w in entry)) ** 0.5, 1e-9)
+
+    def weight(self, word: str) -> float:
+        """What a word adds to the square of its entry's length; common words add the same each, so
+        that which of them a value leaves out tells nothing."""
+        if word not in self.known:
+            alike = sorted(self.common) if word in self.common else [word]
+            self.known[word] = sum(x * x for w in alike for x in self.weights([w]).values()) / len(alike)
+        return self.known[word]
 
     def _short_common(self, w: str) -> bool:
         return not any(c in "aeiouy" for c in w[1:]) or len(w) <= 4
 
-    def best(self, text: str) -> list[tuple[int, int, float, float]]:
-        """(node, depth, cost, cosine) of the entries that text can mean, best first."""
+    def best(self, text: str) -> list[tuple[int, int, float]]:
+        """(node, depth, score) of the two entries that text can mean best: weighted cosine, best first."""
         value = key_words(text)
         if not value:
             return []
-        out: dict[int, tuple[int, int, float, float]] = {}
-        for k, score in self.candidates(value):
-            cost = self.agrees(value, self.words[k])
-            if cost is not None:
-                new = (self.node[k], self.depth[k], cost, score)
-                old = out.get(self.node[k])
-                if old is None or (new[2], -new[3]) < (old[2], -old[3]):
-                    out[self.node[k]] = new
-        return sorted(out.values(), key=lambda x: (x[2], -x[3], x[0]))[:2]
+        out: dict[int, tuple[int, int, float]] = {}
+        for k, _ in self.candidates(value):
+            score = self.agrees(value, self.words[k])
+            if score is not None and (self.node[k] not in out or score > out[self.node[k]][2]):
+                out[self.node[k]] = (self.node[k], self.depth[k], score)
+        return sorted(out.values(), key=lambda x: (-x[2], x[0]))[:2]
 
 
 # -- values ------------------------------------------------------------------------------------
@@ -263,44 +288,43 @@ def references(nodes: DataFrame, attribute_id: int) -> Iterator[Reference]:
 
 
 def _match_field(values: DataFrame, nodes: DataFrame, field: str) -> DataFrame:
-    """value, field_name, part, node, depth, cost, score: up to two candidates of each part."""
+    """value, part, node, depth, score: up to two candidates of each part."""
     attribute_id, split, _ = FIELDS[field]
-    schema = "value string, part int, node bigint, depth int, cost double, score double"
-    out = None
-    for block in references(nodes, attribute_id):
-        shared = Shared(values.sparkSession, block)
-
-        def match(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            memo: dict[str, list] = {}
-            for pdf in it:
-                rows = []
-                for v in pdf["value"]:
-                    for k, part in enumerate(split(v) or [""]):
-                        folded = fold(part).strip()
-                        if folded not in memo:
-                            if len(memo) > 50_000:
-                                memo.clear()
-                            memo[folded] = shared.value.best(part)
-                        got = memo[folded]
-                        rows += [(v, k, *g) for g in got] or [(v, k, NONE, 0, 1e9, 0.0)]
-                yield pd.DataFrame(rows, columns=["value", "part", "node", "depth", "cost", "score"])
-
-        part = values.mapInPandas(match, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:  # an empty list: nothing can be meant
-        return values.select("value", F.lit(0).alias("part"), F.lit(NONE).cast("long").alias("node"), F.lit(0).alias("depth"), F.lit(1e9).alias("cost"), F.lit(0.0).alias("score"))
-    return out
+    schema = "value string, part int, node bigint, depth int, score double"
+    blocks = [Shared(values.sparkSession, block, keep=False) for block in references(nodes, attribute_id)]
+    if not blocks:  # an empty list: nothing can be meant
+        return values.select("value", F.lit(0).alias("part"), F.lit(NONE).cast("long").alias("node"), F.lit(0).alias("depth"), F.lit(0.0).alias("score"))
+
+    def match(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, list] = {}
+        for pdf in it:
+            parts = [(v, k, part, fold(part).strip()) for v in pdf["value"] for k, part in enumerate(split(v) or [""])]
+            # each distinct part is looked up once, in one block after the other
+            new = {f: p for _, _, p, f in parts if f not in memo}
+            found: dict[str, list] = {f: [] for f in new}
+            for shared in blocks if new else ():
+                for f, p in new.items():
+                    found[f] += shared.value.best(p)
+                if len(blocks) > KEPT_BLOCKS:
+                    shared.drop()
+            if len(memo) > 50_000:
+                memo = {f: memo[f] for _, _, _, f in parts if f in memo}
+            memo |= found
+            rows = [(v, k, *g) for v, k, _, f in parts for g in memo[f] or [(NONE, 0, 0.0)]]
+            yield pd.DataFrame(rows, columns=["value", "part", "node", "depth", "score"])
+
+    return values.mapInPandas(match, schema)
 
 
 def map_values(values: DataFrame, nodes: DataFrame, field: str) -> DataFrame:
     """value, node_id for each distinct value (column value) of a field."""
     deepest = FIELDS[field][2]
     found = _match_field(spread(values.select("value").distinct()), nodes, field)
-    # the best two of a part over all blocks; a tie within the margin means neither, and so does a
-    # name without the common word that tells two entries apart
-    ranked = found.groupBy("value", "part").agg(F.array_sort(F.collect_set(F.struct("cost", (-F.col("score")).alias("minus"), "node", "depth"))).alias("c"))
+    # the best two of a part over all blocks; one that leads by less than the margin means neither,
+    # and so does a name without the common word that tells two entries apart
+    ranked = found.groupBy("value", "part").agg(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("minus"), "node", "depth"))).alias("c"))
     first, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
-    clear = second.isNull() | (second["node"] == NONE) | (second["cost"] - first["cost"] > 0.15) | ((first["cost"] < 1.2) & (first["minus"] <= second["minus"] - MARGIN))
+    clear = (first["minus"] <= -ACCEPTED) & (second.isNull() | (second["minus"] - first["minus"] >= MARGIN))
     node = F.when((first["node"] != NONE) & clear, first["node"]).otherwise(NONE)
     parts = ranked.select("value", "part", node.alias("node"), F.when(node != NONE, first["depth"]).otherwise(-1).alias("depth"))
     if deepest:
