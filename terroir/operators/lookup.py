@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from terroir.functions.text import COMMON_WORDS, cleanup, indel_ratio
 from terroir.operators.dictionary import Dictionary
-from terroir.session import Shared, spread
+from terroir.session import Shared, cut, spread
 
 MAX_ENTRIES = 200_000
 MASK = "*********"
@@ -232,7 +232,7 @@ class Index:
 
 
 def load(dictionary: Dictionary, settings: Settings | None = None) -> Index:
-    """The dictionary as an index in memory; a list above MAX_ENTRIES is refused."""
+    """The dictionary as an index in memory; a list above MAX_ENTRIES is refused (see find_attributes)."""
     rows = dictionary.entries.select("entity_id", "code", "base", "words", "max_idf", "insufficient").orderBy("entity_id", "text").take(MAX_ENTRIES + 1)
     if len(rows) > MAX_ENTRIES:
         raise ValueError(f"the dictionary has more than {MAX_ENTRIES} entries")
@@ -327,3 +327,51 @@ def disambiguated(df: DataFrame, text: str, names: DataFrame, predicates: DataFr
     named = F.get(F.filter("__names", lambda r: said.contains(r["p"])), F.lit(0))["code"]
     matched = F.get(F.filter("__predicates", lambda r: F.rlike(said, r["p"])), F.lit(0))["code"]
     return both.withColumn("code", F.coalesce(named, matched)).drop("__names", "__predicates")
+
+
+def lookup_joined(sentences: DataFrame, text: str, dictionary: Dictionary, settings: Settings | None = None, **options: object) -> DataFrame:
+    """As lookup, for a dictionary of any size: each sentence meets its candidates in a join.
+
+    Candidates are the entries that share a sufficient prefix with a word of the sentence, those of
+    its whole text, and, if there are none, those with a word that begins like its first word. Only
+    these, with the frequencies of their words, are sent to the cover of that sentence.
+    """
+    settings = settings or Settings()
+    distinct = _distinct(sentences, text)
+    common = [F.lit(w) for w in COMMON_WORDS]
+    words = F.filter(F.split(F.replace("cleaned", F.lit("$"), F.lit("dollar")), r"(?U)\s+"), lambda w: (w != "") & ~F.array_contains(F.array(*common), w))
+    query = distinct.withColumn("ws", words)
+    said = query.select("raw", F.explode(F.array_distinct("ws")).alias("token")).join(dictionary.idf.select("token", "idf"), "token")
+    own_idf = said.groupBy("raw").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("query_idf"))
+    entries = dictionary.entries.select("entity_id", "code", "base", "text", "words", "max_idf", "insufficient").withColumn("key", F.xxhash64("entity_id", "code", "text")).dropDuplicates(["key"])
+    weighed = entries.select("key", F.explode(F.array_distinct("words")).alias("token")).join(dictionary.idf.select("token", "idf"), "token").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("entry_idf"))
+    entries = cut(entries.join(weighed, "key", "left"))
+    starts = lambda ws, n: F.array_distinct(F.transform(ws, lambda w: F.substring(w, 1, n)))
+    by_prefix = entries.select("key", F.explode(F.array_except(starts("words", 3), "insufficient")).alias("p"))
+    near = query.select("raw", F.explode(starts("ws", 3)).alias("p")).join(by_prefix, "p").select("raw", "key")
+    near = cut(near.distinct())
+    far = query.join(near, "raw", "left_anti").select("raw", F.substring(F.get("ws", F.lit(0)), 1, 1).alias("c")).join(entries.select("key", F.explode(starts("words", 1)).alias("c")), "c").select("raw", "key")
+    whole = query.select("raw", F.array_join("ws", " ").alias("t")).where("t <> ''").join(entries.select("key", F.array_join("words", " ").alias("t")), "t").select("raw", "key")
+    pairs = near.unionByName(far).unionByName(whole).distinct()
+    candidates = pairs.join(entries, "key").groupBy("raw").agg(F.collect_list(F.struct("entity_id", "code", "base", "text", "words", "max_idf", "insufficient", "entry_idf")).alias("candidates"))
+    rows = distinct.join(candidates, "raw").join(own_idf, "raw", "left")
+
+    def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for r in pdf.itertuples(index=False):
+                idf = dict(r.query_idf or {})
+                for c in r.candidates:
+                    idf.update(c["entry_idf"] or {})
+                index = Index([Entry(c["entity_id"], c["code"], c["base"], list(c["words"]), c["max_idf"], frozenset(c["insufficient"])) for c in sorted(r.candidates, key=lambda c: (c["entity_id"], c["text"]))], idf, settings)
+                out += [(r.raw, m.entry.code, m.entry.entity_id, m.entry.value, min(m.positions), max(m.positions), m.score) for m in index.cover(r.cleaned, **options)[0]]
+            yield pd.DataFrame(out, columns=["raw", "code", "entity_id", "value", "start", "end", "score"])
+
+    return rows.mapInPandas(each, f"raw string, {SCHEMA}").withColumnRenamed("raw", f"{text}_text" if text in ("code", "entity_id", "value", "start", "end", "score") else text)
+
+
+def find_attributes(sentences: DataFrame, text: str, dictionary: Dictionary, settings: Settings | None = None, **options: object) -> DataFrame:
+    """lookup with the dictionary in memory if it has at most MAX_ENTRIES entries, else lookup_joined: the rows are the same."""
+    if dictionary.entries.limit(MAX_ENTRIES + 1).count() <= MAX_ENTRIES:
+        return lookup(sentences, text, load(dictionary, settings), **options)
+    return lookup_joined(sentences, text, dictionary, settings, **options)

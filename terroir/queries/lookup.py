@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terroir.operators import dictionary as D
-from terroir.operators.lookup import Index, count_candidates, load, lookup
+from terroir.operators.lookup import Index, count_candidates, find_attributes, load, lookup
 from terroir.queries import sqltext as Q
 from terroir.session import table
 
@@ -71,8 +71,12 @@ def dict_text_ids(spark: SparkSession, d: str) -> DataFrame:
 VALUES_SQL = f"SELECT v, list_filter(string_split_regex(replace({Q.cleanup('v')}, '$', 'dollar'), '[\\s\\pZ]+'), lambda w: w <> '' AND NOT list_contains([{Q.COMMON}], w)) AS words FROM (SELECT DISTINCT region AS v FROM products WHERE trim(region) <> '')"
 
 
+def _dictionary(spark: SparkSession, d: str) -> D.Dictionary:
+    return D.build(table(spark, d, "domain_taxonomy_nodes"), table(spark, d, "domain_attributes"))
+
+
 def _index(spark: SparkSession, d: str) -> Index:
-    return load(D.build(table(spark, d, "domain_taxonomy_nodes"), table(spark, d, "domain_attributes")))
+    return load(_dictionary(spark, d))
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
@@ -101,5 +105,5 @@ def lookup_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def lookup_attributes(spark: SparkSession, d: str) -> DataFrame:
     """Houses, places, grapes and kinds found in the names of all listings."""
-    out = lookup(table(spark, d, "products"), "name", _index(spark, d), fuzzy=True)
+    out = find_attributes(table(spark, d, "products"), "name", _dictionary(spark, d), fuzzy=True)
     return out.withColumn("score", F.round("score", 6))

@@ -1,10 +1,13 @@
 """Scoring and cover of the attribute lookup: hand-computed cases."""
 
+import os
+
 import pytest
 
 from terroir.functions.text import indel_ratio
 from terroir.operators.dictionary import build
-from terroir.operators.lookup import Entry, Index, Settings, load, lookup
+from terroir.operators.lookup import Entry, Index, Settings, find_attributes, load, lookup
+from terroir.session import table
 
 IDF = {"napa": 6.0, "valley": 5.6, "reserve": 6.0, "old": 5.0, "wine": 6.0, "zinfandel": 7.0}
 
@@ -66,3 +69,13 @@ def test_dictionary_and_lookup_in_spark(spark):
     got = lookup(spark.createDataFrame(rows, "t string"), "t", ix).collect()
     assert {(r.t[:6], r.code, r.value) for r in got} == {("Châtea", "brand", "Château Warre"), ("Châtea", "region", "Napa Valley"), ("napa v", "region", "Napa Valley")} and len(got) == 3
     assert lookup(spark.createDataFrame([], "t string"), "t", ix).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_a_dictionary_too_large_for_memory_gives_the_same(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    dictionary = build(table(spark, folder, "domain_taxonomy_nodes"), table(spark, folder, "domain_attributes"))
+    names = table(spark, folder, "products").select("name").limit(0).unionByName(table(spark, folder, "products").select("name")).unionByName(spark.createDataFrame([("the of",), ("",), (None,), ("Zq",), ("wine of $5 & more",)], "name string"))
+    whole = sorted(map(tuple, find_attributes(names, "name", dictionary, fuzzy=True).collect()))
+    monkeypatch.setattr("terroir.operators.lookup.MAX_ENTRIES", 3)
+    assert sorted(map(tuple, find_attributes(names, "name", dictionary, fuzzy=True).collect())) == whole and len(whole) > 100
