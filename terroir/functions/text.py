@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -135,6 +136,7 @@ def without_accents(c: Column) -> Column:
     return plain(c)
 
 
+@lru_cache(maxsize=200_000)
 def indel_ratio(a: str, b: str) -> int:
     """Similarity of 0..100 from the longest common subsequence (a substitution costs two)."""
     if not a and not b:

@@ -76,11 +76,14 @@ class Index:
         self.by_prefix: dict[str, list[int]] = {}
         self.by_letter: dict[str, list[int]] = {}
         self.by_text: dict[str, list[int]] = {}
+        self.by_word: dict[str, list[int]] = {}
         for i, e in enumerate(self.entries):
             for p in {w[:3] for w in e.words}:
                 self.by_prefix.setdefault(p, []).append(i)
             for c in {w[:1] for w in e.words}:
                 self.by_letter.setdefault(c, []).append(i)
+            for w in set(e.words):
+                self.by_word.setdefault(w, []).append(i)
             self.by_text.setdefault(" ".join(e.words), []).append(i)
         for ids in self.by_text.values():
             ids.sort(key=lambda i: (-self.entries[i].max_idf, self.entries[i].entity_id))
@@ -184,6 +187,15 @@ class Index:
             found = set(self.by_letter.get(first[:1], ()))
         return [self.entries[i] for i in sorted(found) if codes is None or self.entries[i].code in codes]
 
+    def exact_candidates(self, query: list[str]) -> list[Entry]:
+        """Those of the candidates that have a word of the query as it is: the only ones that can
+        match where errors aren't seen through."""
+        prefixes = {w[:3] for w in query if w != MASK}
+        found = {i for w in query for i in self.by_word.get(w, ())}
+        entries = [self.entries[i] for i in sorted(found)]
+        entries = [e for e in entries if any(w[:3] in prefixes and w[:3] not in e.insufficient for w in e.words)]
+        return entries or self.candidates(query, None)
+
     def query(self, sentence: str) -> list[str]:
         """The words of a cleaned sentence, common ones masked so that the others keep their places."""
         return [MASK if w in COMMON_WORDS else w for w in sentence.replace("$", "dollar").split()]
@@ -200,7 +212,7 @@ class Index:
             m.score, m.exact = 1000.0, True
             return [m], [q for q, w in enumerate(query) if q not in m.positions and w != MASK]
         live = []
-        for e in self.candidates(query, codes):
+        for e in self.candidates(query, codes) if fuzzy else self.exact_candidates(query):
             if fits(e):
                 m = self.match(e, query, fuzzy)
                 if self.scored(m, len(query)):
