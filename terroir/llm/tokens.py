@@ -26,7 +26,7 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A scan's tokens that end this close to the end of its chunk may depend on what follows.
 MARGIN = 4
-#: Characters of a chunk and of its overlap with the next; chunks of one text that are cut at once.
+#: Characters of a chunk and of its overlap with the next; chunks that are handed on at once.
 CHUNK, OVERLAP, CUT_AT_ONCE = 1_024, 128, 4_096
 
 
@@ -102,11 +102,19 @@ def _encode_long(df: DataFrame, vocabulary: Vocabulary, chunk: int, overlap: int
     def cut_up(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rest = pdf.drop(columns="__text")
-            for k, t in enumerate(pdf["__text"]):
-                for a in range(0, len(t), chunk * CUT_AT_ONCE):
-                    starts = range(a, min(a + chunk * CUT_AT_ONCE, len(t)), chunk)
-                    part = rest.iloc[[k] * len(starts)].reset_index(drop=True)
-                    yield part.assign(i=[s // chunk for s in starts], t=[t[s : s + chunk + overlap] for s in starts])
+            at: list[int] = []
+            i: list[int] = []
+            t: list[str] = []
+            for k, text in enumerate(pdf["__text"]):
+                for s in range(0, len(text), chunk):
+                    at.append(k)
+                    i.append(s // chunk)
+                    t.append(text[s : s + chunk + overlap])
+                    if len(at) == CUT_AT_ONCE:
+                        yield rest.iloc[at].reset_index(drop=True).assign(i=i, t=t)
+                        at, i, t = [], [], []
+            if at:
+                yield rest.iloc[at].reset_index(drop=True).assign(i=i, t=t)
 
     rows = numbered.mapInPandas(cut_up, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", i int, t string")
     # spread the chunks of one text over all tasks
