@@ -93,20 +93,30 @@ def true_places(claims: DataFrame, rounds: int = 30, tolerance: float = 1e-3) ->
     changes by more than the tolerance; where they swing to and fro, each is the mean of two rounds.
     """
     claims = cut(claims.groupBy("group", "source", "node").agg(F.first("path").alias("path")))
-    reliability = claims.select("source").distinct().withColumn("r", F.lit(0.8))
+    # where all claims of a group lie on one path, all are true whatever the sources' reliability is:
+    # they only count for their sources, and the rounds work on the other groups
+    places = claims.select("group", F.posexplode("path").alias("depth", "place")).groupBy("group", "depth").agg((F.min("place") < F.max("place")).alias("split"))
+    split = cut(places.where("split").select("group").distinct())
+    if split.isEmpty():
+        return claims.select("group", "node").distinct()
+    sure = claims.join(split, "group", "left_anti")
+    contested = cut(claims.join(split, "group", "left_semi"))
+    agreed = sure.groupBy("source").agg(F.count(F.lit(1)).alias("sure"))
+    reliability = contested.select("source").distinct().join(agreed, "source", "left").select("source", F.coalesce("sure", F.lit(0)).alias("sure"), F.lit(0.8).alias("r"))
     for k in range(rounds):
-        votes = claims.join(small(reliability), "source").select("group", "r", F.posexplode("path").alias("depth", "place")).groupBy("group", "depth", "place").agg(F.sum("r").alias("v"))
+        votes = contested.join(small(reliability), "source").select("group", "r", F.posexplode("path").alias("depth", "place")).groupBy("group", "depth", "place").agg(F.sum("r").alias("v"))
         won = votes.groupBy("group", "depth").agg(F.max(F.struct("v", (-F.col("place")).alias("m"))).alias("w")).groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("depth", (-F.col("w.m")).alias("place")))).alias("won"))
-        judged = claims.join(won, "group").withColumn("is_true", F.forall(F.transform("path", lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: F.col("won")[x["i"]] == x["p"]))
-        new = judged.groupBy("source").agg(((F.count_if("is_true") + 4) / (F.count(F.lit(1)) + 5)).alias("r")).join(small(reliability.withColumnRenamed("r", "old")), "source")
-        new = cut(new.select("source", (F.col("r") if k < 8 else (F.col("r") + F.col("old")) / 2).alias("r"), F.abs(F.col("r") - F.col("old")).alias("change")))
+        judged = contested.join(won, "group").withColumn("is_true", F.forall(F.transform("path", lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: F.col("won")[x["i"]] == x["p"]))
+        counts = judged.groupBy("source").agg(F.count_if("is_true").alias("held"), F.count(F.lit(1)).alias("said")).join(small(reliability.withColumnRenamed("r", "old")), "source")
+        r = (F.col("held") + F.col("sure") + 4) / (F.col("said") + F.col("sure") + 5)
+        new = cut(counts.select("source", "sure", (r if k < 8 else (r + F.col("old")) / 2).alias("r"), F.abs(r - F.col("old")).alias("change")))
         change = new.agg(F.max("change")).first()[0]
-        reliability = new.select("source", "r")
+        reliability = new.select("source", "sure", "r")
         if change is None or change < tolerance:
             break
     else:
         raise ValueError(f"the sources' reliability doesn't settle in {rounds} rounds")
-    return judged.where("is_true").select("group", "node").distinct()
+    return sure.select("group", "node").unionByName(judged.where("is_true").select("group", "node")).distinct()
 
 
 def usable_regions(records: DataFrame, nodes: DataFrame) -> DataFrame:
