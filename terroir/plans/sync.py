@@ -110,13 +110,17 @@ def compare(offers: DataFrame, updates: DataFrame) -> DataFrame:
 def incremental(tables: Mapping[str, DataFrame], updates: DataFrame) -> dict[str, DataFrame]:
     """The tables after an incremental run: changed offers written back, products that are no longer
     listed marked as deleted, and their offers, attributes and reviews removed. New listings need
-    their full record first and aren't added here (see compare)."""
+    their full record first and aren't added here (see compare). Offers without source or address
+    can't be compared and stay."""
     judged = compare(tables["offers"], updates)
     gone = judged.where("action = 'delete'").select("source_id", "single_product_url")
     ids = tables["offers"].join(gone, ["source_id", "single_product_url"], "left_semi").select("source_id", "source_product_id").distinct()
     out = {t: R.without_keys(tables[t], ids, ["source_id", "source_product_id"]) for t in ("attributes", "reviews")}
-    known = judged.where("action in ('keep', 'update')").select("source_id", "single_product_url", "price_cents", "qoh")
-    out["offers"] = tables["offers"].select("source_id", "source_product_id", "single_product_url").join(known, ["source_id", "single_product_url"]).select(*tables["offers"].columns)
+    kept = R.without_keys(tables["offers"], ids, ["source_id", "source_product_id"])
+    news = judged.where("action = 'update'").select("source_id", "single_product_url", F.col("price_cents").alias("__price"), F.col("qoh").alias("__qoh"), F.lit(True).alias("__new"))
+    both = kept.join(news, ["source_id", "single_product_url"], "left")
+    written = {"price_cents": F.when(F.col("__new"), F.col("__price")).otherwise(F.col("price_cents")), "qoh": F.when(F.col("__new"), F.col("__qoh")).otherwise(F.col("qoh"))}
+    out["offers"] = both.select(*[written.get(c, F.col(c)).alias(c) for c in tables["offers"].columns])
     marked = ids.withColumn("__gone", F.lit(True))
     out["products"] = tables["products"].join(marked, ["source_id", "source_product_id"], "left").withColumn("deleted", F.col("deleted") | F.coalesce("__gone", F.lit(False))).select(*tables["products"].columns)
     return out

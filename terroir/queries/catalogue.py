@@ -273,8 +273,8 @@ def combine_same_code(spark: SparkSession, d: str) -> DataFrame:
     return R.combine_same_code(a, ["source_product_id"]).select("source_product_id", "code", F.array_join("values", "|").alias("vals"), F.col("start").alias("first_id"), F.col("end").alias("last_id"), "relation")
 
 
-@query("SELECT description, count(*) AS n, string_agg(record_id::VARCHAR, ',' ORDER BY record_id) AS records FROM (SELECT DISTINCT description, record_id FROM product_records WHERE trim(description) <> '') GROUP BY 1")
+@query("SELECT description, record_id, count(*) OVER (PARTITION BY description) AS n FROM (SELECT DISTINCT description, record_id FROM product_records WHERE trim(description) <> '' AND record_id IS NOT NULL)")
 def grouped_reviews(spark: SparkSession, d: str) -> DataFrame:
-    """Records grouped by their text."""
-    rows = table(spark, d, "product_records").where(F.trim("description") != "").select("description", "record_id").distinct()
-    return rows.groupBy("description").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("record_id")).cast("array<string>"), ",").alias("records"))
+    """Records by their text, with how many share it: a row each, so that a text of very many records isn't one value."""
+    rows = table(spark, d, "product_records").where(F.trim("description") != "").where("record_id is not null").select("description", "record_id").distinct()
+    return rows.join(rows.groupBy("description").agg(F.count(F.lit(1)).alias("n")), "description")

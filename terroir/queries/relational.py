@@ -88,19 +88,19 @@ def disambiguate_codes(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy(F.lower("name").alias("v")).agg(F.min_by("id", F.struct("o", "id")).alias("id"))
 
 
-@query("SELECT doc_type, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents WHERE trim(doc_type) <> '' AND length(text) < 60 GROUP BY 1")
-def training_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Short texts grouped by their class; every text with a class is in training_rows_all."""
-    t = table(spark, d, "documents").where("trim(doc_type) <> '' and length(text) < 60")
-    return t.groupBy("doc_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("ids"))
-
-
 @query("SELECT doc_id, trim(doc_type) AS doc_type, trim(text) AS text FROM documents WHERE trim(doc_type) <> ''")
-def training_rows_all(spark: SparkSession, d: str) -> DataFrame:
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
     """Every text that has a class, with its class: a row each, of any length."""
     return table(spark, d, "documents").where("trim(doc_type) <> ''").select("doc_id", F.trim("doc_type").alias("doc_type"), F.trim("text").alias("text"))
 
 
+@query("SELECT trim(doc_type) AS doc_type, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id, sum(length(text))::BIGINT AS n_chars FROM documents WHERE trim(doc_type) <> '' GROUP BY 1")
+def training_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The classes of texts, with how much there is of each."""
+    t = table(spark, d, "documents").where("trim(doc_type) <> ''")
+    return t.groupBy(F.trim("doc_type").alias("doc_type")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum(F.length("text")).alias("n_chars"))
+
+
 @query("SELECT code, datatype IN ('float', 'currency') AS is_numeric, datatype = 'float' AS is_scalar, NOT coalesce(has_taxonomy, FALSE) AS is_free, code IN ('price', 'qpr', 'qoh') AS is_offer FROM domain_attributes")
 def metadata_predicates(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("datatype")
@@ -173,20 +173,11 @@ def top_terms(texts: DataFrame) -> DataFrame:
     return s.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "w"))).where("r <= 3").select("doc_id", "w", "score")
 
 
-@query(
-    f"""WITH w AS (SELECT doc_id, unnest({WORDS.format("text")}) AS w FROM documents WHERE lang = 'en'), tf AS (SELECT doc_id, w, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
- s AS (SELECT doc_id, w, round(tf * (ln((1 + (SELECT count(DISTINCT doc_id) FROM tf)) / (1.0 + df)) + 1), 6) AS score FROM tf JOIN df USING (w)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, w) AS r FROM s) SELECT doc_id, w, score FROM r WHERE r <= 3"""
-)
-def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
-    """The three heaviest words of each English text; all texts are in tfidf_top_terms_all."""
-    return top_terms(table(spark, d, "documents").where("lang = 'en'"))
-
-
 @query(
     f"""WITH w AS (SELECT doc_id, unnest({WORDS.format("text")}) AS w FROM documents), tf AS (SELECT doc_id, w, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
  s AS (SELECT doc_id, w, round(tf * (ln((1 + (SELECT count(DISTINCT doc_id) FROM tf)) / (1.0 + df)) + 1), 6) AS score FROM tf JOIN df USING (w)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, w) AS r FROM s) SELECT doc_id, w, score FROM r WHERE r <= 3"""
 )
-def tfidf_top_terms_all(spark: SparkSession, d: str) -> DataFrame:
+def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
     """The three heaviest words of each text, in all languages."""
     return top_terms(table(spark, d, "documents"))
 

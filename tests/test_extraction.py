@@ -8,7 +8,7 @@ from terroir.operators.dictionary import build
 from terroir.operators import extraction as E
 from terroir.operators.lookup import Settings, attribute_lookup, disambiguated, load
 from terroir.queries.extraction import extract_from_sentences
-from terroir.queries.relational import tfidf_top_terms_all
+from terroir.queries.relational import tfidf_top_terms
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,7 @@ def test_texts_of_all_languages(spark, lists, tmp_path):
     for name, t in zip(("domain_taxonomy_nodes", "domain_attributes"), lists):
         t.write.parquet(f"{tmp_path}/{name}.parquet")
     assert {(r.doc_id, r.value) for r in extract_from_sentences(spark, str(tmp_path)).collect()} == {(1, "Napa Valley"), (2, "Napa Valley"), (3, "Zinfandel"), (4, "Napa Valley")}
-    assert {r.doc_id for r in tfidf_top_terms_all(spark, str(tmp_path)).collect()} == {1, 2, 3, 4}
+    assert {r.doc_id for r in tfidf_top_terms(spark, str(tmp_path)).collect()} == {1, 2, 3, 4}
 
 
 RULES = [

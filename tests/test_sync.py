@@ -50,3 +50,17 @@ def test_list_pages(spark):
     rows = parse_list_pages(pages, "page", "html", Selector("item", "li", "item"), [Selector("name", "a"), Selector("price", "span", "p"), Selector("url", "a", attribute="href")])
     assert [(r.page, r.pos, r.name, r.price, r.url) for r in rows.orderBy("pos").collect()] == [(1, 0, "One & a", "1.00", "/1"), (1, 1, "Two bold", None, "/2"), (1, 2, "Three sold out", "3.00", None)]
     assert sorted(r.url for r in routed(rows, True).collect()) == ["/1", "/2"] and [r.url for r in routed(rows, False, ["two"]).collect()] == ["/1"]
+
+
+def test_nothing_and_nulls(spark, tables, tmp_path):
+    attributes = spark.createDataFrame([(2, "price", "currency", False, False), (None, "x", "text", False, True), (5, None, None, None, None)], ATTRIBUTES)
+    nodes = spark.createDataFrame([(None, None, None, None)], NODES)
+    empty = S.full(spark.createDataFrame([], RECORDS), attributes, nodes)
+    assert {t: df.count() for t, df in empty.items()} == dict.fromkeys(S.TABLES, 0)
+    row = (1, None, None, None, "2.00", "1", "i", "s", None, None, "[broken", 1)
+    one = S.full(spark.createDataFrame([row, row, (None,) * 12], RECORDS), attributes, nodes)
+    assert {t: df.count() for t, df in one.items()} == {"products": 1, "offers": 1, "attributes": 1, "reviews": 0}
+    updates = spark.createDataFrame([], "source_id bigint, single_product_url string, price_cents bigint, qoh int")
+    # nothing ran: everything stays, an offer without source and address too
+    assert {t: df.count() for t, df in S.incremental(one, updates).items()} == {"products": 1, "offers": 1, "attributes": 1, "reviews": 0}
+    assert S.stored(spark, str(tmp_path / "none")) == {}
