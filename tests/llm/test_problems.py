@@ -6,10 +6,11 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terroir.llm.canonical import Reference, edit_distance, grams, key_words, map_values, mapped_fields
 from terroir.llm.leakage import ItemBlock, leaked, leaked_items
-from terroir.llm.listings import product_groups, product_pairs
+from terroir.llm.listings import misspelled, product_groups, product_pairs, similar, stars
 from terroir.llm.survivors import survivors, true_places
 from terroir.llm.truncation import bare_end, find_limits, fit_censored, judged, source_limits, truncated, truncation_by_source
 from terroir.llm.words import words
@@ -358,3 +359,30 @@ def test_copies_make_no_limit(spark):
     r = random.Random(8)
     docs = [(i, "x" * max(5, int(np.exp(r.gauss(5, 0.8)))), "s") for i in range(600)] + [(1000 + i, "loved this one", "s") for i in range(600)]
     assert find_limits(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).count() == 0
+
+
+def test_stars_take_only_neighbours_of_their_centre(spark):
+    nodes = spark.createDataFrame([(s, w) for s, w in zip("abcde", (5, 4, 3, 2, 1))], "sig string, w int")
+    links = spark.createDataFrame([(x, y) for p in ("ab", "bc", "ce") for x, y in (p, p[::-1])], "a string, b string")
+    assert {r.sig: r.center for r in stars(nodes, links).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "c"}
+    assert {r.sig: r.center for r in stars(nodes, links.limit(0)).collect()} == {s: s for s in "abcde"}
+
+
+def test_similar_signatures_equal_brute_force(spark):
+    r = random.Random(12)
+    base = ["sitetrozo", "owl harrow", "barrel 40", "une", "zenomalo", ""]
+    rows = []
+    for i in range(140):
+        c = r.choice(base)
+        if c and r.random() < 0.4:
+            k = r.randrange(len(c))
+            c = (c[:k] + r.choice("abcdefg") + c[k + 1 :]) if c[k].isalpha() else c
+        rows.append((f"s{i:03}", 1, "2017", 750, "", " ".join(sorted(c.split())), r.sample([1, 2, 3], r.randint(0, 2)), r.randint(1, 9), r.randint(1, 9)))
+    df = spark.createDataFrame(rows, "sig string, house bigint, vintage string, size bigint, designation string, cuvee string, grapes array<bigint>, n bigint, often bigint")
+    got = {(x.a, x.b) for x in similar(df).collect()}
+    # the same without the join: every pair of the cell by the exact rules
+    a, b = (df.select(*[F.col(c).alias(f"{x}_{c}") for c in df.columns]) for x in "ab")
+    fits = misspelled(F.col("a_cuvee"), F.col("b_cuvee"), F.col("a_often"), F.col("b_often"))
+    grapes = F.arrays_overlap("a_grapes", "b_grapes") | (F.size("a_grapes") == 0) | (F.size("b_grapes") == 0)
+    want = {(x.a_sig, x.b_sig) for x in a.join(b, F.col("a_sig") < F.col("b_sig")).where(fits & grapes).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 500
