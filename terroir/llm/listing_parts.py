@@ -99,6 +99,7 @@ class Fuzzy:
 @dataclass
 class Parts:
     house: int = -1
+    houses: tuple[int, ...] = ()  # those that the name may mean, if house is -1
     cuvee: tuple[str, ...] = ()
     designation: str = ""
     grapes: tuple[int, ...] = ()
@@ -153,32 +154,33 @@ class Reader:
                     return i, i + n, got
         return None
 
-    def _house_kind(self, node: int, near: list[str]) -> tuple[int, int]:
-        """How well the common words near a house's name fit it: (fitting, left out) best first."""
-        best = (0, 99)
+    def _house_kind(self, node: int, near: list[str], fuzzy: bool) -> int:
+        """How many of the common words near a house's name fit it."""
+        best = 0
         for kind in self.house_words[node]:
             kind = kind - JOINING
-            fit = sum(1 for w in near if w.replace("soehne", "sohne") in kind or any(abbreviates(w, k) for k in kind))
-            best = max(best, (fit, -len(kind)))
+            best = max(best, sum(1 for w in near if w in kind or any(abbreviates(w, k) for k in kind) or (fuzzy and any(_misspells(w, k) for k in kind))))
         return best
 
-    def house_of(self, ws: list[str], known: int = -1) -> tuple[int, list[str]]:
-        """The house that a name's words state (-1: none), and the words without it."""
+    def house_of(self, ws: list[str], known: int = -1) -> tuple[list[int], list[str]]:
+        """The house that a name's words state (none: [], several that they may mean: all), and the words without it."""
         at = None
         for fuzzy in (False, True):
             at = self._find(ws, self.houses, self.longest, fuzzy)
             if at:
                 break
         if not at:
-            return -1, ws
+            return [], ws
         i, j, nodes = at
-        near = [w for w in [*ws[max(0, i - 3) : i], *ws[j : j + 3]] if self._is_kind(w)]
-        if len(nodes) > 1:
-            ranked = sorted(nodes, key=lambda n: self._house_kind(n, near), reverse=True)
-            clear = self._house_kind(ranked[0], near)[0] > self._house_kind(ranked[1], near)[0]
-            node = ranked[0] if clear else known if known in nodes else -2
-        else:
-            node = nodes[0]
+        meant = nodes
+        for fuzzy in (False, True):
+            if len(meant) > 1:  # houses that differ in kind only
+                places = [k for k in (*range(max(0, i - 3), i), *range(j, min(j + 3, len(ws)))) if not self._designates(ws, k)]
+                near = [w for w in (ws[k].replace("soehne", "sohne") for k in places) if self._is_kind(w, fuzzy)]
+                fit = {n: self._house_kind(n, near, fuzzy) for n in meant}
+                meant = [n for n in meant if fit[n] == max(fit.values())]
+        if len(meant) > 1 and known in nodes:
+            meant = [known]
         kinds = set().union(*(k for n in nodes for k in self.house_words[n]))
         taken: set[str] = set()  # a kind stands once: in 'Clos Gublosac Clos Perdu' the second is the cuvée's
         while i > 0 and ws[i - 1] not in taken and self._belongs(ws[i - 1], kinds):
@@ -186,15 +188,20 @@ class Reader:
             taken.add(ws[i])
         while j < len(ws) and ws[j] not in taken and self._belongs(ws[j], kinds) and not (ws[j] == "estate" and j + 1 < len(ws) and ws[j + 1].startswith("sel")):
             j += 1
-        return node, ws[:i] + ["|"] + ws[j:]
+        return meant, ws[:i] + ["|"] + ws[j:]
+
+    def _designates(self, ws: list[str], k: int) -> bool:
+        """Whether a word is part of a designation and so says nothing of the house's kind."""
+        after = ws[k + 1] if k + 1 < len(ws) else ""
+        return ws[k] in ("ov", "cru", "ris", "rsv") or (ws[k] in ("vine", "vines") and k > 0 and ws[k - 1] == "old") or (ws[k] in ("estate", "est") and after.startswith("sel"))
 
-    def _is_kind(self, w: str) -> bool:
-        return w in self.common or (len(w) <= 5 and any(abbreviates(w, c) for c in self.common))
+    def _is_kind(self, w: str, fuzzy: bool) -> bool:
+        return w in self.common or (len(w) <= 5 and any(abbreviates(w, c) for c in self.common)) or (fuzzy and any(_misspells(w, c) for c in self.common))
 
     def _belongs(self, w: str, kinds: set[str]) -> bool:
         if w in BEFORE_CUVEE or w in ("ov", "cru", "ris", "rsv", "vine", "vines"):
             return False
-        return w in kinds or w in ("di", "e", "et", "u", "und", "soehne", "the") or (len(w) <= 5 and any(abbreviates(w, k) for k in kinds - JOINING)) or any(len(k) >= 5 and edit_distance(w, k, 1) <= 1 for k in kinds)
+        return w in kinds or w in ("di", "e", "et", "u", "und", "soehne", "the") or (len(w) <= 5 and any(abbreviates(w, k) for k in kinds - JOINING)) or any(_misspells(w, k) for k in kinds)
 
     def grapes_of(self, ws: list[str]) -> tuple[list[int], list[str]]:
         ws = [SHORT.get(w, w) for w in ws]
@@ -236,7 +243,8 @@ class Reader:
         ws = words(re.sub(r"\|", " ", text))
         # the house: as the column says, if it means one; else as the name says
         stated, rest = self.house_of(ws, house)
-        out.house = house if house > 0 else stated
+        stated = [house] if house > 0 else stated
+        out.house, out.houses = (stated[0], ()) if len(stated) == 1 else (-1, tuple(sorted(stated)))
         grapes, rest = self.grapes_of(rest)
         column: list[int] = []
         for part in varietal_parts(varietals or ""):
@@ -252,6 +260,10 @@ class Reader:
         return out
 
 
+def _misspells(w: str, kind: str) -> bool:
+    return len(kind) >= 5 and edit_distance(w, kind, 1) <= 1
+
+
 def _before(w: str) -> bool:
     """A word that stands before a cuvée, also with one error if it is long enough."""
     return w in BEFORE_CUVEE or (len(w) >= 4 and any(len(x) >= 5 and edit_distance(w, x, 1) == 1 for x in BEFORE_CUVEE))

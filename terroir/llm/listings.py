@@ -7,8 +7,11 @@
 3. Signatures are joined by set similarity on their normalised tokens: the letter triples of the
    cuvée and the grapes, weighted by rarity. Tokens are ordered by rarity; the side of less weight
    looks up only the prefix that a match can't miss, and position and length filters drop
-   candidates. House, vintage, size and designation are stated by every listing (by default no
-   vintage, 750 ml, none), so they split the postings instead of being tokens.
+   candidates. Misspelled cuvées may have few or no triples in common, so they are joined a second
+   way, by a prefix of their letters that no misspelling can miss. House, vintage, size and
+   designation are stated by every listing (by default no vintage, 750 ml, none), so they split the
+   postings instead of being tokens; a listing whose house may be one of several stands in the
+   postings of each.
 4. Exact verification: the weighted containment of the candidates' tokens, where a cuvée that is a
    misspelling of the other counts as the same; then the parts that both sides state must not
    contradict each other.
@@ -32,8 +35,10 @@ from terroir.session import Shared, cut, spread
 
 #: Reference entries that a reader may hold in memory (about 1 kB each); a longer list is refused.
 MAX_ENTRIES = 200_000
-#: Least weighted containment of candidates by letters, and of matches.
-CANDIDATE, CONTAINMENT = 0.25, 0.7
+#: Least weighted containment of matches.
+CONTAINMENT = 0.7
+#: Letters, in any order, in which a misspelled cuvée differs from another at most.
+DIFFERENT = 2
 #: A short spelling is an error of another if that is at least so many times as frequent.
 ERROR_RATIO = 2.0
 #: A phrase of up to so many words is a selling phrase if it stands beside a cuvée that the house has
@@ -46,12 +51,12 @@ SHORT = 8
 #: Cuvées of up to so many letters, in which one error leaves no triple.
 TINY = 4
 HOUSE, GRAPE = 5, 7
-RECORD = "source_product_id bigint, house bigint, words array<string>, designation string, grapes array<bigint>, vintage string, size bigint"
+RECORD = "source_product_id bigint, house bigint, houses array<bigint>, words array<string>, designation string, grapes array<bigint>, vintage string, size bigint"
 CELL = ["house", "vintage", "size", "designation"]
 
 
 def read_listings(products: DataFrame, nodes: DataFrame, fx_rates: DataFrame) -> DataFrame:
-    """One record for each source_product_id: RECORD. house is -1 if none is stated."""
+    """One record for each source_product_id: RECORD. houses: the house, or all that it may be (house is -1 then), or none."""
     entries = [(n, a, name) for a in (HOUSE, GRAPE) for n, _, name in reference_entries(nodes, a)]
     if len(entries) > MAX_ENTRIES:
         raise ValueError(f"the reference list has more than {MAX_ENTRIES} names")
@@ -72,8 +77,8 @@ def read_listings(products: DataFrame, nodes: DataFrame, fx_rates: DataFrame) ->
             out = []
             for r in pdf.itertuples(index=False):
                 p = shared.value.read(text(r.name), int(r.node_id) if r.node_id == r.node_id and r.node_id is not None else -1, text(r.varietals), text(r.vintage), float(r.ml) if r.ml == r.ml and r.ml is not None else None)
-                out.append((r.source_product_id, max(p.house, -1), list(p.cuvee), p.designation, sorted(p.grapes), p.vintage, p.size))
-            yield pd.DataFrame(out, columns=["source_product_id", "house", "words", "designation", "grapes", "vintage", "size"])
+                out.append((r.source_product_id, p.house, list(p.houses) if p.house < 0 else [p.house], list(p.cuvee), p.designation, sorted(p.grapes), p.vintage, p.size))
+            yield pd.DataFrame(out, columns=["source_product_id", "house", "houses", "words", "designation", "grapes", "vintage", "size"])
 
     return spread(rows.select("source_product_id", "name", "varietals", "vintage", F.col("node_id"), "ml")).mapInPandas(read, RECORD)
 
@@ -107,15 +112,16 @@ def drop_selling_words(records: DataFrame) -> DataFrame:
 def with_signature(records: DataFrame) -> DataFrame:
     """Adds cuvee (the words in the order of the alphabet, so that their order says nothing) and sig."""
     out = records.withColumn("cuvee", F.array_join(F.array_sort("words"), " ")).drop("words")
-    said = [F.col(k).cast("string") for k in (*CELL, "cuvee")]
-    return out.withColumn("sig", F.md5(F.concat_ws("\x1f", *said, F.array_join(F.col("grapes").cast("array<string>"), ","))))
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    said = [listed("houses"), *[F.col(k).cast("string") for k in (*CELL[1:], "cuvee")]]
+    return out.withColumn("sig", F.md5(F.concat_ws("\x1f", *said, listed("grapes"))))
 
 
 def signatures(records: DataFrame) -> DataFrame:
-    """Distinct records: sig, CELL, cuvee, grapes, n (listings), often (listings of the house with this cuvée)."""
-    out = records.groupBy("sig", *CELL, "cuvee", "grapes").agg(F.count(F.lit(1)).alias("n"))
-    often = out.groupBy("house", "cuvee").agg(F.sum("n").alias("often"))
-    return out.join(often, ["house", "cuvee"])
+    """Distinct records: sig, houses, CELL, cuvee, grapes, n (listings), often (listings of the house with this cuvée)."""
+    out = records.groupBy("sig", "houses", *CELL, "cuvee", "grapes").agg(F.count(F.lit(1)).alias("n"))
+    often = out.groupBy("houses", "cuvee").agg(F.sum("n").alias("often"))
+    return out.join(often, ["houses", "cuvee"])
 
 
 def tokens_of() -> Column:
@@ -165,34 +171,56 @@ def weighted_bags(sigs: DataFrame) -> DataFrame:
     return weighed.select("sig", "cell", run.alias("r")).select("sig", "cell", "r.bag", F.col("r.sum").alias("total"))
 
 
+def letter_keys(sigs: DataFrame) -> DataFrame:
+    """sig, cell, cuvee, size (its letters) and key: misspelled() cuvées of a cell have a key in common.
+
+    The letters of the distinct words, numbered (the second e is another letter than the first), are a
+    set, and misspelled cuvées have all letters in common but DIFFERENT of the larger set. So two of
+    the first DIFFERENT + 2 letters in any one order are in common; here the rarest come first, and two
+    marks follow the letters for cuvées that are shorter. The keys are the pairs of these letters.
+    """
+    of = sigs.select("sig", F.xxhash64(*CELL).alias("cell"), "cuvee", F.array_sort(F.regexp_extract_all(F.array_join(F.array_distinct(F.split("cuvee", " ")), ""), F.lit("(?s)."), F.lit(0))).alias("letters"))
+    # any order is right, so rare letters needn't be told apart by their numbers
+    common = F.lit("".join(r.c for r in of.select(F.explode("letters").alias("c")).groupBy("c").count().orderBy(F.desc("count"), "c").limit(64).collect()))
+    rank = lambda c: F.when(F.instr(common, c) > 0, -F.instr(common, c)).otherwise(-1000)
+    numbered = F.transform("letters", lambda c, i: F.struct((F.array_position("letters", c) - i).cast("int").alias("nth"), rank(c).alias("rank"), c.alias("c")))
+    marks = F.array(*[F.struct(F.lit(2).alias("nth"), F.lit(0).alias("rank"), F.lit(m).alias("c")) for m in "12"])
+    first = of.select("sig", "cell", "cuvee", F.size("letters").alias("size"), F.slice(F.array_sort(F.concat(numbered, marks)), 1, DIFFERENT + 2).alias("first"))
+    keys = F.flatten(F.transform("first", lambda x, i: F.transform(F.slice("first", i + 2, DIFFERENT + 2), lambda y: F.xxhash64(x, y))))
+    return first.select("sig", "cell", "cuvee", "size", F.explode(keys).alias("key"))
+
+
 def similar(sigs: DataFrame) -> DataFrame:
-    """a, b (a < b): signatures that pass the join and contradict each other in no part."""
+    """a, b (a < b): signatures that pass the join and contradict each other in no part. A signature
+    with several rows, of different cells, is compared in each."""
     # a signature that is alone in its cell can't meet another
     crowded = sigs.groupBy(*CELL).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     sigs = cut(sigs.join(crowded.select(*CELL), CELL, "left_semi"))
     bags = cut(weighted_bags(sigs))
     left = bags.alias("l").select("cell", F.col("sig").alias("a"), F.col("total").alias("a_total"), F.explode("bag").alias("x"))
     # the prefix can't be missed: what stands behind it is less than a match needs
-    left = left.where(F.col("x.before") <= F.col("a_total") * (1 - CANDIDATE)).select("cell", "a", "a_total", F.col("x.t").alias("t"), (F.col("a_total") - F.col("x.before")).alias("a_rest"))
+    left = left.where(F.col("x.before") <= F.col("a_total") * (1 - CONTAINMENT)).select("cell", "a", "a_total", F.col("x.t").alias("t"), (F.col("a_total") - F.col("x.before")).alias("a_rest"))
     right = bags.select("cell", F.col("sig").alias("b"), F.col("total").alias("b_total"), F.explode("bag").alias("x")).select("cell", "b", "b_total", F.col("x.t").alias("t"), (F.col("b_total") - F.col("x.before")).alias("b_rest"))
     # the side of less weight looks up; at the first token in common no more than both rests is in common
     order = F.struct("a_total", "a") < F.struct("b_total", "b")
-    position = F.least("a_rest", "b_rest") >= F.col("a_total") * CANDIDATE
-    pairs = left.join(right, ["cell", "t"]).where(order & position).select("a", "b").distinct()
-    parts = bags.select("sig", "bag", "total").join(sigs.select("sig", "cuvee", "grapes", "often"), "sig")
+    position = F.least("a_rest", "b_rest") >= F.col("a_total") * CONTAINMENT
+    weighed = left.join(right, ["cell", "t"]).where(order & position).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # cuvées that aren't equal meet by their letters too, since an error in them may take all that is in common
+    keys = letter_keys(sigs)
+    x, y = (keys.select("cell", "key", *[F.col(c).alias(f"{x}_{c}" if c != "sig" else x) for c in ("sig", "cuvee", "size")]) for x in "ab")
+    spelled = x.join(y, ["cell", "key"]).where((F.col("a") < F.col("b")) & (F.col("a_cuvee") != F.col("b_cuvee")) & (F.abs(F.col("a_size") - F.col("b_size")) <= DIFFERENT)).select("a", "b")
+    pairs = weighed.unionByName(spelled).distinct()
+    parts = bags.select("sig", "bag", "total").dropDuplicates(["sig"]).join(sigs.select("sig", "cuvee", "grapes", "often").dropDuplicates(["sig"]), "sig")
     both = pairs
     for x in "ab":
         both = both.join(parts.select(*[F.col(c).alias(f"{x}_{c}" if c != "sig" else x) for c in parts.columns]), x)
-    tokens = lambda c: F.transform(c, lambda t: t["t"])
-    weight = lambda bag: F.aggregate(bag, F.lit(0.0), lambda s, t: s + t["w"])
-    common = F.filter("a_bag", lambda t: F.array_contains(tokens("b_bag"), t["t"]))
-    close = weight(common) >= F.col("a_total") * CANDIDATE
     same = misspelled(F.col("a_cuvee"), F.col("b_cuvee"), F.col("a_often"), F.col("b_often"))
-    # an error in the cuvée takes no letters from what is in common
-    shared = weight(F.filter("a_bag", lambda t: t["t"].startswith("c:") & F.col("same") | F.array_contains(tokens("b_bag"), t["t"])))
     grapes = F.arrays_overlap("a_grapes", "b_grapes") | (F.size("a_grapes") == 0) | (F.size("b_grapes") == 0)
-    kept = both.where(close & grapes).withColumn("same", same).where("same").where(shared >= F.col("a_total") * CONTAINMENT)
-    return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    less, more = (F.when(o, F.col("a_bag")).otherwise(F.col("b_bag")) for o in (order, ~order))
+    kept = both.where(grapes).withColumn("same", same).where("same").select("a", "b", less.alias("less"), F.transform(more, lambda t: t["t"]).alias("more"), F.least("a_total", "b_total").alias("total"))
+    # an error in the cuvée takes no letters from what is in common
+    shared = F.aggregate(F.filter("less", lambda t: t["t"].startswith("c:") | F.array_contains("more", t["t"])), F.lit(0.0), lambda s, t: s + t["w"])
+    return kept.where(shared >= F.col("total") * CONTAINMENT).select("a", "b")
 
 
 def stars(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -213,39 +241,55 @@ def stars(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("sig").join(placed, "sig", "left").select("sig", F.coalesce("center", "sig").alias("center"))
 
 
+def joined(placed: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """placed (sig, center) and nodes (sig, w), each of which joins the only centre that it fits; those
+    that fit none or several are clustered among themselves. links: a, b in both directions."""
+    if nodes.isEmpty():
+        return placed
+    ends = [nodes.select(F.col("sig").alias(x)) for x in "ab"]
+    fits = links.join(ends[0], "a", "left_semi").join(placed.withColumnRenamed("sig", "b"), "b").groupBy("a").agg(F.min("center").alias("lo"), F.max("center").alias("hi"))
+    vague = nodes.join(fits, F.col("sig") == F.col("a"), "left").withColumn("one", F.coalesce(F.col("lo") == F.col("hi"), F.lit(False)))
+    vague = cut(vague.select("sig", "w", "lo", "one"))
+    rest = vague.where("not one").select("sig", "w")
+    among = links.join(rest.select(F.col("sig").alias("a")), "a", "left_semi").join(rest.select(F.col("sig").alias("b")), "b", "left_semi")
+    return placed.unionByName(vague.where("one").select("sig", F.col("lo").alias("center"))).unionByName(stars(rest, among))
+
+
 def star_clusters(sigs: DataFrame, edges: DataFrame) -> DataFrame:
-    """sig, center. A signature without stated grapes joins the only centre that it fits; those that
-    fit none or several are clustered among themselves."""
-    # the house's commonest spelling leads; by powers of two and then by hash, so that no chain of
-    # falling weights makes many rounds
-    nodes = sigs.select("sig", (F.size("grapes") > 0).alias("stated"), F.struct(F.floor(F.log2("often")).alias("o"), F.floor(F.log2("n")).alias("n"), F.xxhash64("sig").alias("h")).alias("w"))
+    """sig, center. Signatures with house and grapes are clustered first, so that none that leaves
+    these open ties two that contradict each other; then those without grapes, then those whose
+    house may be one of several."""
     links = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    told = nodes.select(F.col("sig").alias("a"), F.col("stated").alias("sa")), nodes.select(F.col("sig").alias("b"), F.col("stated").alias("sb"))
+    # the house's commonest spelling leads; by powers of two and then by hash, so that no chain of
+    # falling weights makes many rounds. Of equals the one with most neighbours leads: fewest links
+    # are cut, and the spelling that the others are errors of is the one near to all
+    near = links.groupBy(F.col("a").alias("sig")).agg(F.count(F.lit(1)).alias("near"))
+    power = lambda c: F.floor(F.log2(c))
+    level = F.when(F.size("houses") == 1, F.when(F.size("grapes") > 0, 0).otherwise(1)).otherwise(F.when(F.size("grapes") > 0, 2).otherwise(3))
+    nodes = cut(sigs.join(near, "sig", "left").select("sig", level.alias("level"), F.struct(power("often").alias("o"), power("n").alias("n"), power(F.coalesce("near", F.lit(1))).alias("near"), F.xxhash64("sig").alias("h")).alias("w")))
+    told = [nodes.select(F.col("sig").alias(x), F.col("level").alias(f"{x}_level")) for x in "ab"]
     links = cut(links.join(told[0], "a").join(told[1], "b"))
-    firm = cut(stars(nodes.where("stated"), links.where("sa and sb").select("a", "b")))
-    fits = links.where("not sa and sb").join(firm.withColumnRenamed("sig", "b"), "b").groupBy("a").agg(F.min("center").alias("lo"), F.max("center").alias("hi"))
-    vague = nodes.where("not stated").join(fits, F.col("sig") == F.col("a"), "left").withColumn("one", F.coalesce(F.col("lo") == F.col("hi"), F.lit(False)))
-    vague = cut(vague.select("sig", "w", "lo", "one"))
-    rest = vague.where("not one").select("sig", "w")
-    among = links.where("not sa and not sb").select("a", "b")
-    among = among.join(rest.select(F.col("sig").alias("a")), "a", "left_semi").join(rest.select(F.col("sig").alias("b")), "b", "left_semi")
-    return firm.unionByName(vague.where("one").select("sig", F.col("lo").alias("center"))).unionByName(stars(rest, among))
+    clusters = cut(stars(nodes.where("level = 0").select("sig", "w"), links.where("a_level = 0 and b_level = 0").select("a", "b")))
+    for k in (1, 2, 3):
+        clusters = joined(clusters, nodes.where(f"level = {k}").select("sig", "w"), links.where(f"a_level = {k} and b_level <= {k}").select("a", "b"))
+    return clusters
 
 
 def product_groups(products: DataFrame, nodes: DataFrame, fx_rates: DataFrame) -> DataFrame:
     """source_product_id, group_id (the centre's signature): every listing with its class.
 
-    A listing without any stated house is a group of its own, since it can't be told whose bottle
-    it is. Rows without source_product_id are left out; repeated rows count once; extra columns
+    A listing that may be of several houses, since its name fits them all, joins the only group of
+    theirs that it fits. A listing without any stated house is a group of its own, since it can't be
+    told whose bottle it is. Rows without source_product_id are left out; repeated rows count once; extra columns
     are ignored; an empty table gives an empty one.
     """
     read = cut(read_listings(products, nodes, fx_rates))
     records = cut(with_signature(drop_selling_words(read)))
-    told = records.where("house >= 0")
+    told = records.where("size(houses) > 0")
     sigs = cut(signatures(told))
-    clusters = star_clusters(sigs, cut(similar(sigs)))
+    clusters = star_clusters(sigs, cut(similar(sigs.withColumn("house", F.explode("houses")))))
     known = told.select("source_product_id", "sig").join(clusters, "sig").select("source_product_id", F.col("center").alias("group_id"))
-    return known.unionByName(records.where("house < 0").select("source_product_id", F.concat(F.lit("listing "), F.col("source_product_id").cast("string")).alias("group_id")))
+    return known.unionByName(records.where("size(houses) = 0").select("source_product_id", F.concat(F.lit("listing "), F.col("source_product_id").cast("string")).alias("group_id")))
 
 
 def product_pairs(groups: DataFrame) -> DataFrame:

@@ -136,6 +136,48 @@ def test_a_designation_beside_the_house(spark, nodes, rates):
     assert [tuple(r) for r in product_pairs(product_groups(listings(spark, rows), nodes.unionByName(entries), rates)).collect()] == [(1, 2)]
 
 
+def pairs_of(spark, nodes, rates, rows):
+    return sorted(tuple(r) for r in product_pairs(product_groups(listings(spark, rows), nodes, rates)).collect())
+
+
+def test_houses_that_differ_in_kind_only(spark, nodes, rates):
+    names = ["Pakorstead & Söhne", "Kellerei Pakorstead", "Ligorcombe Vineyards", "Ligorcombe Winery", *(f.format(f"Xabo{i}m") for i in range(4) for f in ("{} & Söhne", "Kellerei {}", "{} Vineyards", "{} Winery"))]
+    entries = spark.createDataFrame([(900 + i, 5, 5, n, "[]", "[0, 5]", "x") for i, n in enumerate(names)], NODES)
+    rows = [(1, "Pakorstead u. Soehne Sitetrozo 2013", None, None, None, None), (2, "Sitetrozo 2013", "Pakorstead & Söhne", None, None, None), (3, "Kellerei Pakorstead Sitetrozo 2013", None, None, None, None)]
+    rows += [(4, "Ligorcombe Vineyard Sitetrozo 2013", None, None, None, None), (5, "Sitetrozo 2013", "Ligorcombe Vineyards", None, None, None), (6, "Ligorcombe Winery Old Vines Sitetrozo 2013", None, None, None, None), (7, "Sitetrozo Old Vines Ligorcombe Winery", "TBD", "2013", None, None)]
+    assert pairs_of(spark, nodes.unionByName(entries), rates, rows) == [(1, 2), (4, 5), (6, 7)]
+
+
+def test_a_house_that_may_be_one_of_several(spark, nodes, rates):
+    # only one Mitemuelo has the first cuvée, both have the second, none has the third
+    rows = [(1, "Viña Mitemuelo Sitetrozo Zemina 2017", None, None, None, None), (2, "Mitemuelo Sitetrozo Zemina 2017", None, None, None, None), (3, "Mitemuelo Sitetozo 2017", None, None, None, None)]
+    rows += [(4 + i, f"{h} Zenomalo 2016", None, None, None, None) for i, h in enumerate(["Viña Mitemuelo", "Bodegas Mitemuelo", "Mitemuelo", "Mitemuelo"])]
+    rows += [(8, "Mitemuelo Owl Harrow 2016", None, None, None, None), (9, "Harrow Owl Mitemuelo 2016", None, None, None, None), (10, "Owl Harrow 2016", None, None, None, None), (11, "Owl Harrow 2016", None, None, None, None)]
+    assert pairs_of(spark, nodes, rates, rows) == [(1, 2), (1, 3), (2, 3), (6, 7), (8, 9)]
+
+
+def test_a_spelling_near_to_all_leads(spark, nodes, rates):
+    rows = [(10 * k + i, f"Château Vodamault {c} Zemina {2000 + k}", None, None, None, None) for k, g in enumerate([("Founder", "Funder", "Founedr"), ("Grand Mur", "Grnd Mur", "Grand Mtr")]) for i, c in enumerate(g)]
+    assert pairs_of(spark, nodes, rates, rows) == [(10 * k + a, 10 * k + b) for k in range(2) for a, b in ((0, 1), (0, 2), (1, 2))]
+
+
+def test_misspelled_cuvees_meet_without_a_triple_in_common(spark):
+    r = random.Random(5)
+
+    def altered(c):
+        k = r.randrange(len(c))
+        return r.choice([c[:k] + c[k + 1 :], c[:k] + r.choice("xyz") + c[k:], c[:k] + r.choice("xyz") + c[k + 1 :], c[: k - 1] + c[k : k + 1] + c[k - 1 : k] + c[k + 1 :] if k else c])
+
+    base = ["nomalema", "desasiga", "alto sole", "tripigvi", "nimozetre", "trovoseba", "une", "os", "a b", "block 12", "ab ab cd", "\U00010400\U00010401lema", ""]
+    cuvees = [altered(altered(c)) if len(c) > 3 and r.random() < 0.5 else altered(c) if c else c for c in base * 14]
+    rows = [(f"s{i:03}", 1, "2017", 750, "", " ".join(sorted(c.split())), [1], 1, r.choice([1, 1, 3])) for i, c in enumerate(cuvees)]
+    df = spark.createDataFrame(rows, "sig string, house bigint, vintage string, size bigint, designation string, cuvee string, grapes array<bigint>, n bigint, often bigint")
+    a, b = (df.select(*[F.col(c).alias(f"{x}_{c}") for c in df.columns]) for x in "ab")
+    fits = misspelled(F.col("a_cuvee"), F.col("b_cuvee"), F.col("a_often"), F.col("b_often"))
+    want = {(x.a_sig, x.b_sig) for x in a.join(b, F.col("a_sig") < F.col("b_sig")).where(fits).collect()}
+    assert {(x.a, x.b) for x in similar(df).collect()} == want and len(want) > 300
+
+
 SOURCES = "source_id bigint, source_code string, source_name string, trust_rank int, text string"
 
 
