@@ -51,12 +51,12 @@ SHORT = 8
 #: Cuvées of up to so many letters, in which one error leaves no triple.
 TINY = 4
 HOUSE, GRAPE = 5, 7
-RECORD = "source_product_id bigint, house bigint, houses array<bigint>, words array<string>, designation string, grapes array<bigint>, vintage string, size bigint"
+RECORD = "source_product_id bigint, house bigint, houses array<bigint>, words array<string>, designation string, grapes array<bigint>, vintage string, size bigint, said bigint"
 CELL = ["house", "vintage", "size", "designation"]
 
 
 def read_listings(products: DataFrame, nodes: DataFrame, fx_rates: DataFrame) -> DataFrame:
-    """One record for each source_product_id: RECORD. houses: the house, or all that it may be (house is -1 then), or none."""
+    """One record for each source_product_id: RECORD. houses: the house, or all that it may be (house is -1 then), or none. said: equal for copies of one text."""
     entries = [(n, a, name) for a in (HOUSE, GRAPE) for n, _, name in reference_entries(nodes, a)]
     if len(entries) > MAX_ENTRIES:
         raise ValueError(f"the reference list has more than {MAX_ENTRIES} names")
@@ -69,7 +69,7 @@ def read_listings(products: DataFrame, nodes: DataFrame, fx_rates: DataFrame) ->
     sizes = common_units(one, fx_rates, fields=["bottle_size"]).select("source_product_id", F.col("amount").cast("double").alias("ml"))
     # rows without a brand have a key each, so that they don't meet in one task
     key = F.coalesce("brand", F.concat(F.lit("\0"), F.col("source_product_id").cast("string")))
-    rows = one.select("source_product_id", *columns, key.alias("value")).join(brands, "value", "left").join(sizes, "source_product_id", "left")
+    rows = one.select("source_product_id", *columns, key.alias("value"), F.xxhash64(*columns).alias("said")).join(brands, "value", "left").join(sizes, "source_product_id", "left")
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         text = lambda x: x if isinstance(x, str) else None
@@ -77,10 +77,10 @@ def read_listings(products: DataFrame, nodes: DataFrame, fx_rates: DataFrame) ->
             out = []
             for r in pdf.itertuples(index=False):
                 p = shared.value.read(text(r.name), int(r.node_id) if r.node_id == r.node_id and r.node_id is not None else -1, text(r.varietals), text(r.vintage), float(r.ml) if r.ml == r.ml and r.ml is not None else None)
-                out.append((r.source_product_id, p.house, list(p.houses) if p.house < 0 else [p.house], list(p.cuvee), p.designation, sorted(p.grapes), p.vintage, p.size))
-            yield pd.DataFrame(out, columns=["source_product_id", "house", "houses", "words", "designation", "grapes", "vintage", "size"])
+                out.append((r.source_product_id, p.house, list(p.houses) if p.house < 0 else [p.house], list(p.cuvee), p.designation, sorted(p.grapes), p.vintage, p.size, r.said))
+            yield pd.DataFrame(out, columns=["source_product_id", "house", "houses", "words", "designation", "grapes", "vintage", "size", "said"])
 
-    return spread(rows.select("source_product_id", "name", "varietals", "vintage", F.col("node_id"), "ml")).mapInPandas(read, RECORD)
+    return spread(rows.select("source_product_id", "name", "varietals", "vintage", F.col("node_id"), "ml", "said")).mapInPandas(read, RECORD)
 
 
 def _phrases(cuvees: DataFrame) -> DataFrame:
@@ -118,9 +118,9 @@ def with_signature(records: DataFrame) -> DataFrame:
 
 
 def signatures(records: DataFrame) -> DataFrame:
-    """Distinct records: sig, houses, CELL, cuvee, grapes, n (listings), often (listings of the house with this cuvée)."""
+    """Distinct records: sig, houses, CELL, cuvee, grapes, n (listings), often (listings of the house with this cuvée), texts (distinct ones of these)."""
     out = records.groupBy("sig", "houses", *CELL, "cuvee", "grapes").agg(F.count(F.lit(1)).alias("n"))
-    often = out.groupBy("houses", "cuvee").agg(F.sum("n").alias("often"))
+    often = records.groupBy("houses", "cuvee", "said").agg(F.count(F.lit(1)).alias("n")).groupBy("houses", "cuvee").agg(F.sum("n").alias("often"), F.count(F.lit(1)).alias("texts"))
     return out.join(often, ["houses", "cuvee"])
 
 
@@ -137,12 +137,12 @@ def tokens_of() -> Column:
     return F.array_distinct(F.concat(cuvee, F.transform("grapes", lambda g: F.concat(F.lit("g:"), g.cast("string")))))
 
 
-def misspelled(a: Column, b: Column, often_a: Column, often_b: Column) -> Column:
+def misspelled(a: Column, b: Column, often_a: Column, often_b: Column, once: Column | None = None) -> Column:
     """Whether two cuvées (words in the order of the alphabet) are one: in their words that the other
     doesn't have, they are the same letters but for a space, one edit apart (a short cuvée only where
     one side is much rarer), or two edits in a long one that stands once.
 
-    A swap of neighbours is one edit. Numbers must be equal ('Barrl 40' is 'Barrel 40', never
+    once: whether one side stands once (by default in one listing). A swap of neighbours is one edit. Numbers must be equal ('Barrl 40' is 'Barrel 40', never
     'Barrel 41').
     """
     own = [F.array_except(F.split(c, " "), F.split(d, " ")) for c, d in ((a, b), (b, a))]
@@ -155,7 +155,7 @@ def misspelled(a: Column, b: Column, often_a: Column, often_b: Column) -> Column
     two = (distance == 2) | ((distance == 4) & swapped) | ((distance == 3) & (F.levenshtein(bag(x), bag(y), 2) >= 0))
     rarer = F.greatest(often_a, often_b) >= F.least(often_a, often_b) * ERROR_RATIO
     numbers = lambda c: F.regexp_extract_all(c, F.lit("([0-9]+)"), F.lit(1))
-    error = (one & ((letters >= ONE_ERROR) | rarer)) | (two & (letters >= TWO_ERRORS) & (F.least(often_a, often_b) == 1))
+    error = (one & ((letters >= ONE_ERROR) | rarer)) | (two & (letters >= TWO_ERRORS) & (F.least(often_a, often_b) == 1 if once is None else once))
     glued = swapped & (F.size(own[0]) != F.size(own[1])) & (F.least(F.size(own[0]), F.size(own[1])) == 1)
     return (a == b) | glued | ((F.length(x) > 0) & (F.length(y) > 0) & (numbers(a) == numbers(b)) & error)
 
@@ -192,7 +192,9 @@ def letter_keys(sigs: DataFrame) -> DataFrame:
 
 def similar(sigs: DataFrame) -> DataFrame:
     """a, b (a < b): signatures that pass the join and contradict each other in no part. A signature
-    with several rows, of different cells, is compared in each."""
+    with several rows, of different cells, is compared in each; where sigs has no texts, each listing
+    counts as one."""
+    sigs = sigs if "texts" in sigs.columns else sigs.withColumn("texts", F.col("often"))
     # a signature that is alone in its cell can't meet another
     crowded = sigs.groupBy(*CELL).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     sigs = cut(sigs.join(crowded.select(*CELL), CELL, "left_semi"))
@@ -210,11 +212,12 @@ def similar(sigs: DataFrame) -> DataFrame:
     x, y = (keys.select("cell", "key", *[F.col(c).alias(f"{x}_{c}" if c != "sig" else x) for c in ("sig", "cuvee", "size")]) for x in "ab")
     spelled = x.join(y, ["cell", "key"]).where((F.col("a") < F.col("b")) & (F.col("a_cuvee") != F.col("b_cuvee")) & (F.abs(F.col("a_size") - F.col("b_size")) <= DIFFERENT)).select("a", "b")
     pairs = weighed.unionByName(spelled).distinct()
-    parts = bags.select("sig", "bag", "total").dropDuplicates(["sig"]).join(sigs.select("sig", "cuvee", "grapes", "often").dropDuplicates(["sig"]), "sig")
+    parts = bags.select("sig", "bag", "total").dropDuplicates(["sig"]).join(sigs.select("sig", "cuvee", "grapes", "often", "texts").dropDuplicates(["sig"]), "sig")
     both = pairs
     for x in "ab":
         both = both.join(parts.select(*[F.col(c).alias(f"{x}_{c}" if c != "sig" else x) for c in parts.columns]), x)
-    same = misspelled(F.col("a_cuvee"), F.col("b_cuvee"), F.col("a_often"), F.col("b_often"))
+    # copies of a text don't make an error a spelling, however often a table holds them
+    same = misspelled(F.col("a_cuvee"), F.col("b_cuvee"), F.col("a_often"), F.col("b_often"), F.least("a_texts", "b_texts") == 1)
     grapes = F.arrays_overlap("a_grapes", "b_grapes") | (F.size("a_grapes") == 0) | (F.size("b_grapes") == 0)
     less, more = (F.when(o, F.col("a_bag")).otherwise(F.col("b_bag")) for o in (order, ~order))
     kept = both.where(grapes).withColumn("same", same).where("same").select("a", "b", less.alias("less"), F.transform(more, lambda t: t["t"]).alias("more"), F.least("a_total", "b_total").alias("total"))

@@ -161,6 +161,12 @@ def test_a_spelling_near_to_all_leads(spark, nodes, rates):
     assert pairs_of(spark, nodes, rates, rows) == [(10 * k + a, 10 * k + b) for k in range(2) for a, b in ((0, 1), (0, 2), (1, 2))]
 
 
+def test_copies_of_the_table_keep_its_pairs(spark, nodes, rates):
+    one = [(i, f"Château Vodamault {c} Zemina 2017", None, None, None, None) for i, c in enumerate(["Nomalema", "Nmalmea", "Sitetrozo", "Stietrozzo"])]
+    copies = [(100 * k + r[0], *r[1:]) for k in range(3) for r in one]
+    assert pairs_of(spark, nodes, rates, copies) == sorted((a[0], b[0]) for a in copies for b in copies if a[0] < b[0] and a[0] % 100 // 2 == b[0] % 100 // 2)
+
+
 def test_misspelled_cuvees_meet_without_a_triple_in_common(spark):
     r = random.Random(5)
 
